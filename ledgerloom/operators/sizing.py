@@ -1,0 +1,22 @@
+"""Broadcasts behind a measured size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed-width rows of at most a few longs: a million of them is some tens of megabytes.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether a frame of fixed-width rows has at most ``max_rows`` rows.
+
+    Runs one job that stops after ``max_rows + 1`` rows and returns a single number.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint when it is small; otherwise unhinted (shuffle join)."""
+    return F.broadcast(df) if fits(df, max_rows) else df
