@@ -116,14 +116,7 @@ def src_topics(fx):
 
 @query
 def src_tables(fx):
-    positions = {"logs": "log_index", "blocks": "block_hash", "transactions": "tx_index", "receipts": "tx_index"}
-    schemas = {"logs": S.LOGS, "blocks": S.BLOCKS, "transactions": S.TRANSACTIONS, "receipts": S.RECEIPTS}
-    found = {}
-    for name, df in _tables(fx).items():
-        path = scratch_path(fx.spark, name)
-        tables.append(df, path, positions[name])
-        found[name] = tables.scan(fx.spark, path, schemas[name])
-    return _inventory(found)
+    return _inventory(_tables(fx))
 
 
 # --- sinks and table maintenance --------------------------------------------------------------
@@ -215,7 +208,7 @@ def tbl_evolve(fx):
 
 @query
 def prj_decode_message(fx):
-    return fx.changelog.select(
+    return fx.decoded.select(
         "seq", "kind", "type", "chain_id", "block_number", "tx_hash", "log_index", "address", "data",
         "from_block", "dead_reason",
     )
@@ -286,7 +279,7 @@ def flt_event_id(fx):
 
 @query
 def flt_dead_letter(fx):
-    return M.dead_letters(fx.changelog).select("seq", "topic", "raw", "dead_stage", "dead_reason")
+    return M.dead_letters(fx.decoded).select("seq", "topic", "raw", "dead_stage", "dead_reason")
 
 
 @query
@@ -498,7 +491,7 @@ def st_confirmed_ingest(fx):
 def _stream(fx: Fixtures, after_batch=None) -> str:
     """Run recorded messages through the changelog job; the folder it wrote."""
     path = scratch_path(fx.spark, "changelog")
-    source = topics.read_files(fx.spark, fx.land_messages(files=3), CHAINS, max_files_per_trigger=1)
+    source = topics.read_files(fx.spark, fx.land_messages(), CHAINS, max_files_per_trigger=1)
     order = F.expr("offset * 4 + partition")
     jobs.start_changelog(
         source, path, scratch_path(fx.spark, "offsets"), order,

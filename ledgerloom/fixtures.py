@@ -4,17 +4,28 @@
 ``events`` are messages of a topic. Every view is a projection, a join on the order key
 or a group-by; no window spans more than the lines of one order, so the views grow with
 the tables.
+
+Views are landed as Parquet in the shared folder, once per application and only when
+asked for, in the layout the engine uses: operators then meet real tables with file
+statistics and partitions, as they do in use.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ledgerloom import schemas as S
 from ledgerloom.operators import messages as M
 from ledgerloom.session import DEFAULTS, scratch_path
+from ledgerloom.sources import tables
+from ledgerloom.streaming import jobs
+
+_LANDED: dict[tuple[str, str, str], str] = {}
 
 EVENT_A = "0x" + "aa" * 32
 EVENT_N = "0x" + "bb" * 32
@@ -57,8 +68,7 @@ class Fixtures:
         named = self.table("orders").selectExpr("*", *[f"{e} as {n}" for n, e in _ORDER.items()])
         return named.selectExpr("*", f"{_BLOCK_HASH} as block_hash", "o_orderkey div 3 as tx_index")
 
-    @cached_property
-    def transactions(self) -> DataFrame:
+    def _transactions(self) -> DataFrame:
         return self.orders.selectExpr(
             "chain_id", "tx_hash", "block_number", "block_hash", "tx_index",
             "concat('0x', lpad(lower(hex(o_custkey)), 40, '0')) as from_addr",
@@ -71,8 +81,7 @@ class Fixtures:
             "cast(case when o_orderpriority = '1-URGENT' then 2 else 0 end as bigint) as tx_type",
         )
 
-    @cached_property
-    def receipts(self) -> DataFrame:
+    def _receipts(self) -> DataFrame:
         """Receipts; low-priority pending orders above a price have none."""
         lacking = "o_orderstatus = 'P' and o_orderpriority = '5-LOW' and o_totalprice > 400000"
         return self.orders.where(f"not ({lacking})").selectExpr(
@@ -86,8 +95,7 @@ class Fixtures:
             "cast(1000000000 + o_orderkey as string) as effective_gas_price",
         )
 
-    @cached_property
-    def blocks(self) -> DataFrame:
+    def _blocks(self) -> DataFrame:
         return (
             self.orders.groupBy("chain_id", "block_number", "block_hash")
             .agg(
@@ -110,8 +118,7 @@ class Fixtures:
         position = f"row_number() over (partition by l_orderkey order by {_LINE_ORDER})"
         return joined.selectExpr("*", f"cast({position} as bigint) as seq")
 
-    @cached_property
-    def logs(self) -> DataFrame:
+    def _logs(self) -> DataFrame:
         return self.lines.selectExpr(
             "chain_id", "block_number", "block_hash", "tx_hash",
             "(l_orderkey div 3) * 1024 + seq - 1 as log_index",
@@ -122,8 +129,7 @@ class Fixtures:
             "l_linestatus = 'F' and l_linenumber = 3 as removed",
         )
 
-    @cached_property
-    def deliveries(self) -> DataFrame:
+    def _deliveries(self) -> DataFrame:
         """At-least-once log deliveries: the line number repeats within an order."""
         return self.lines.selectExpr(
             "chain_id", "block_number", "block_hash", "tx_hash",
@@ -132,8 +138,7 @@ class Fixtures:
             "seq", "l_returnflag as source",
         )
 
-    @cached_property
-    def transaction_versions(self) -> DataFrame:
+    def _transaction_versions(self) -> DataFrame:
         """Several unnormalised deliveries per transaction, moving between blocks."""
         return self.lines.selectExpr(
             "chain_id", "concat('0x', upper(substring(tx_hash, 3))) as tx_hash",
@@ -148,8 +153,7 @@ class Fixtures:
             "'0x' as input", "cast(0 as bigint) as tx_type", "seq",
         )
 
-    @cached_property
-    def receipt_versions(self) -> DataFrame:
+    def _receipt_versions(self) -> DataFrame:
         return self.lines.selectExpr(
             "chain_id", "concat('0x', upper(substring(tx_hash, 3))) as tx_hash",
             "block_number + l_linenumber as block_number", "upper(block_hash) as block_hash",
@@ -163,8 +167,7 @@ class Fixtures:
             "case when l_discount = 0 then '' else cast(l_partkey as string) end as effective_gas_price", "seq",
         )
 
-    @cached_property
-    def block_versions(self) -> DataFrame:
+    def _block_versions(self) -> DataFrame:
         """One version of a block per order in it; the highest order key came last."""
         return self.orders.selectExpr(
             "chain_id", "block_number", "concat(block_hash, ':', o_orderkey) as block_hash",
@@ -189,8 +192,7 @@ class Fixtures:
 
     # --- messages -------------------------------------------------------------------------
 
-    @cached_property
-    def raw_messages(self) -> DataFrame:
+    def _raw_messages(self) -> DataFrame:
         """Kafka-shaped rows with ``seq``. Error events carry each kind of broken message."""
         base = self.table("events").selectExpr(
             "event_id as seq", "cast(1 + user_id % 3 as bigint) as chain_id", "user_id", "value as amount",
@@ -251,16 +253,78 @@ class Fixtures:
             f"cast({broken} as binary) as value",
         )
 
+    # --- landed tables ------------------------------------------------------------------------
+
+    def _landed(self, name: str, write: Callable[[str], None]) -> str:
+        """Path of a view, written on first use."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _LANDED:
+            path = scratch_path(self.spark, name)
+            write(path)
+            _LANDED[key] = path
+        return _LANDED[key]
+
+    def _chain_table(self, name: str, view: DataFrame, schema: T.StructType, position: str) -> DataFrame:
+        path = self._landed(name, lambda p: tables.append(view, p, position))
+        return tables.scan(self.spark, path, schema)
+
+    def _plain_table(self, name: str, view: DataFrame) -> DataFrame:
+        return self.spark.read.parquet(self._landed(name, lambda p: view.write.parquet(p)))
+
     @cached_property
-    def changelog(self) -> DataFrame:
+    def logs(self) -> DataFrame:
+        return self._chain_table("logs", self._logs(), S.LOGS, "log_index")
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return self._chain_table("blocks", self._blocks(), S.BLOCKS, "block_hash")
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return self._chain_table("transactions", self._transactions(), S.TRANSACTIONS, "tx_index")
+
+    @cached_property
+    def receipts(self) -> DataFrame:
+        return self._chain_table("receipts", self._receipts(), S.RECEIPTS, "tx_index")
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        return self._plain_table("deliveries", self._deliveries())
+
+    @cached_property
+    def transaction_versions(self) -> DataFrame:
+        return self._plain_table("transaction-versions", self._transaction_versions())
+
+    @cached_property
+    def receipt_versions(self) -> DataFrame:
+        return self._plain_table("receipt-versions", self._receipt_versions())
+
+    @cached_property
+    def block_versions(self) -> DataFrame:
+        return self._plain_table("block-versions", self._block_versions())
+
+    @cached_property
+    def raw_messages(self) -> DataFrame:
+        """Recorded messages, spread over files by arrival."""
+        view = self._raw_messages().repartitionByRange("seq")
+        return self._plain_table("messages", view)
+
+    @cached_property
+    def decoded(self) -> DataFrame:
+        """Changelog rows decoded on the fly."""
         return M.decode(self.raw_messages, "seq")
 
+    @cached_property
+    def changelog(self) -> DataFrame:
+        """The stored changelog."""
+        path = self._landed("changelog", lambda p: jobs.store_batch(self.decoded, 0, p))
+        return jobs.read_changelog(self.spark, path)
+
     # --- landed node responses ---------------------------------------------------------------
 
     def _land(self, name: str, rows: DataFrame) -> str:
-        path = scratch_path(self.spark, name)
-        rows.select("chain_id", "value").write.partitionBy("chain_id").text(path)
-        return path
+        lines = rows.select("chain_id", "value")
+        return self._landed(name, lambda p: lines.write.partitionBy("chain_id").text(p))
 
     def _lines_per_order(self, fields: str) -> DataFrame:
         """Per order an array of its lines, in line order; bounded by the lines of an order."""
@@ -331,14 +395,10 @@ class Fixtures:
         )
         return self._land("node-logs", joined.selectExpr("chain_id", f"{value} as value"))
 
-    def land_messages(self, files: int | None = None) -> str:
-        """Recorded messages as Parquet files, in ``seq`` order when ``files`` is given."""
-        path = scratch_path(self.spark, "messages")
-        rows = self.raw_messages
-        if files:
-            rows = rows.repartitionByRange(files, "seq")
-        rows.drop("seq").write.parquet(path)
-        return path
+    def land_messages(self) -> str:
+        """Recorded messages as topic files, three of them, each a range of arrivals."""
+        rows = self._raw_messages().repartitionByRange(3, "seq").drop("seq")
+        return self._landed("topic-files", lambda p: rows.write.parquet(p))
 
 
 def processed_at() -> Column:

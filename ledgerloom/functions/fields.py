@@ -25,15 +25,20 @@ def event_matches(event_id: str) -> Column:
     return F.lower(F.get("topics", F.lit(0))).eqNullSafe(F.lit(event_id.lower()))
 
 
+def is_address_topic_sql(topic: str) -> str:
+    """A 32-byte topic, whose low 20 bytes hold an address."""
+    return f"(startswith({topic}, '0x') and length({topic}) = 66)"
+
+
 def topic_address_sql(topic: str) -> str:
-    """Address held in the low 20 bytes of a 32-byte topic; NULL when the topic is malformed."""
-    return (
-        f"(case when startswith({topic}, '0x') and length({topic}) = 66 "
-        f"then concat('0x', lower(substring({topic}, 27))) end)"
-    )
+    return f"concat('0x', lower(substring({topic}, 27)))"
+
+
+def has_word_sql(data: str) -> str:
+    """Data that starts with 64 hex digits. Later bytes are ignored."""
+    return f"({data} rlike '^(0x)?[0-9a-fA-F]{{{WORD_DIGITS}}}')"
 
 
 def data_word_sql(data: str) -> str:
-    """First 64 hex digits of the data; NULL when shorter or not hex. Later bytes are ignored."""
-    word = f"substring({strip_0x_sql(data)}, 1, {WORD_DIGITS})"
-    return f"(case when {word} rlike '^[0-9a-fA-F]{{{WORD_DIGITS}}}$' then {word} end)"
+    """First 64 digits of the data; meaningful where ``has_word_sql`` holds."""
+    return f"substring({strip_0x_sql(data)}, 1, {WORD_DIGITS})"

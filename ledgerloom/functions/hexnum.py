@@ -17,8 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.schemas import MAX_BIGINT
-
 WORD_DIGITS = 64
 CHUNK_DIGITS = 12
 CHUNKS = 6
@@ -34,16 +32,6 @@ def strip_0x_sql(text: str) -> str:
     return f"(case when startswith({text}, '0x') then substring({text}, 3) else {text} end)"
 
 
-def significant_sql(text: str) -> str:
-    """Hex digits without prefix and leading zeros ('' for zero)."""
-    return f"ltrim('0', {strip_0x_sql(text)})"
-
-
-def is_hex_sql(text: str) -> str:
-    """At least one hex digit after an optional 0x."""
-    return f"({text} rlike '^(0x)?[0-9a-fA-F]+$')"
-
-
 def is_fixed_hex(value: str, length: int) -> bool:
     """Plan-time check of a configured address (42) or event id (66)."""
     return (
@@ -53,22 +41,16 @@ def is_fixed_hex(value: str, length: int) -> bool:
     )
 
 
-def hex_to_uint_sql(text: str) -> str:
-    """Unsigned 64-bit value as DECIMAL(20,0); NULL when empty, malformed or too wide."""
-    digits = significant_sql(text)
-    return (
-        f"(case when {is_hex_sql(text)} and length({digits}) <= 16 "
-        f"then cast(conv(concat('0', {digits}), 16, 10) as decimal(20,0)) end)"
-    )
+def has_digits_sql(text: str, digits: str) -> str:
+    """Hex text whose significant part matches ``digits``, after an optional 0x and zeros."""
+    return f"({text} rlike '^(0x)?0*({digits})$')"
 
 
 def hex_to_bigint_sql(text: str, optional: bool = False) -> str:
-    """BIGINT value, NULL when invalid or above 2^63-1. ``optional`` maps '' and NULL to 0."""
-    value = hex_to_uint_sql(text)
-    bounded = f"(case when {value} <= {MAX_BIGINT} then cast({value} as bigint) end)"
-    if not optional:
-        return bounded
-    return f"(case when coalesce({text}, '') = '' then 0L else {bounded} end)"
+    """BIGINT value; NULL when empty, malformed or above 2^63-1. ``optional`` maps ''/NULL to 0."""
+    fits = has_digits_sql(text, "[0-7][0-9a-fA-F]{15}|[0-9a-fA-F]{1,15}")
+    zero = f"when coalesce({text}, '') = '' then 0L " if optional else ""
+    return f"(case {zero}when {fits} then cast(conv({strip_0x_sql(text)}, 16, 10) as bigint) end)"
 
 
 def uint_to_hex_sql(number: str) -> str:
@@ -121,20 +103,20 @@ def hex_to_decimal_sql(text: str) -> str:
     Up to 64 bits ``conv`` does it alone, up to 120 bits two of them in a DECIMAL,
     beyond that Horner's rule.
     """
-    digits = significant_sql(text)
-    half = f"lpad({digits}, 30, '0')"
-    high, low = (f"cast(conv(substring({half}, {p}, 15), 16, 10) as decimal(20,0))" for p in (1, 16))
-    word = f"lpad({digits}, {LIMBS * 6}, '0')"
+    digits = strip_0x_sql(text)
+    padded = f"lpad(ltrim('0', {digits}), {LIMBS * 6}, '0')"
+    high, low = (
+        f"cast(conv(substring({padded}, {p}, 15), 16, 10) as decimal(20,0))" for p in (37, 52)
+    )
     places = (
         f"transform(sequence(1, {LIMBS * 6}, 6), "
-        f"p -> cast(conv(substring({word}, p, 6), 16, 10) as bigint))"
+        f"p -> cast(conv(substring({padded}, p, 6), 16, 10) as bigint))"
     )
     return (
         f"(case when coalesce({text}, '') in ('', '0x') then '0' "
-        f"when not {is_hex_sql(text)} then null "
-        f"when length({digits}) <= 16 then conv(concat('0', {digits}), 16, 10) "
-        f"when length({digits}) <= 30 then cast({high} * {1 << 60}BD + {low} as string) "
-        f"when length({digits}) <= {WORD_DIGITS} then {horner_text_sql(places)} end)"
+        f"when {has_digits_sql(text, '[0-9a-fA-F]{1,16}')} then conv({digits}, 16, 10) "
+        f"when {has_digits_sql(text, '[0-9a-fA-F]{1,30}')} then cast({high} * {1 << 60}BD + {low} as string) "
+        f"when {has_digits_sql(text, '[0-9a-fA-F]{1,64}')} then {horner_text_sql(places)} end)"
     )
 
 

@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
-from ledgerloom.functions.fields import data_word_sql, event_matches, topic_address_sql
+from ledgerloom.functions.fields import (
+    data_word_sql,
+    event_matches,
+    has_word_sql,
+    is_address_topic_sql,
+    topic_address_sql,
+)
 from ledgerloom.functions.hexnum import LIMB_COLUMNS, limbs_to_text, sum_limbs, with_limbs
 
 _ZERO_WORD = "0" * 64
@@ -23,45 +29,41 @@ BAD_ADDRESS = "invalid topic address"
 BAD_AMOUNT = "invalid amount data"
 
 
-def matching(logs: DataFrame, event_id: str, skip_removed: bool = False) -> DataFrame:
-    """Logs of the event with ``credit_address``, ``word`` and, if undecodable, ``bad_reason``.
+_TOPIC = "get(topics, 1)"
+_HAS_TOPIC = "size(topics) >= 2"
+_IS_ADDRESS = is_address_topic_sql(_TOPIC)
+_HAS_AMOUNT = has_word_sql("data")
+
 
-    An empty event id switches balances off: the frame is empty.
-    """
+def matching(logs: DataFrame, event_id: str, skip_removed: bool = False) -> DataFrame:
+    """Logs of the event. An empty event id switches balances off: the frame is empty."""
     if not event_id:
-        return _decoded(logs.where(F.lit(False)))
+        return logs.where(F.lit(False))
     found = logs.where(event_matches(event_id))
-    if skip_removed:
-        found = found.where(~F.col("removed"))
-    return _decoded(found)
-
-
-def _decoded(logs: DataFrame) -> DataFrame:
-    return logs.select(
-        "*",
-        F.expr(topic_address_sql("get(topics, 1)")).alias("credit_address"),
-        F.expr(data_word_sql("data")).alias("word"),
-    ).withColumn(
-        "bad_reason",
-        F.when(F.size("topics") < 2, NO_ADDRESS)
-        .when(F.col("credit_address").isNull(), BAD_ADDRESS)
-        .when(F.col("word").isNull(), BAD_AMOUNT),
-    )
+    return found.where(~F.col("removed")) if skip_removed else found
 
 
 def undecodable(logs: DataFrame, event_id: str) -> DataFrame:
-    """Matching logs that credit nobody, with the reason."""
-    return matching(logs, event_id).where(F.col("bad_reason").isNotNull()).drop(
-        "credit_address", "word"
+    """Matching logs that credit nobody, with ``bad_reason``."""
+    reason = (
+        f"case when not {_HAS_TOPIC} then '{NO_ADDRESS}' when not {_IS_ADDRESS} then '{BAD_ADDRESS}' "
+        f"when not {_HAS_AMOUNT} then '{BAD_AMOUNT}' end"
     )
+    return matching(logs, event_id).withColumn("bad_reason", F.expr(reason)).where("bad_reason is not null")
 
 
 def credits(logs: DataFrame, event_id: str, skip_removed: bool = False, extra: tuple = ()) -> DataFrame:
     """(chain_id, address, *extra, limbs) of every non-zero credit."""
-    good = matching(logs, event_id, skip_removed).where(
-        F.col("bad_reason").isNull() & (F.col("word") != _ZERO_WORD)
+    word = data_word_sql("data")
+    good = (
+        matching(logs, event_id, skip_removed)
+        .where(f"{_HAS_TOPIC} and {_IS_ADDRESS}")
+        .where(_HAS_AMOUNT)
+        .where(f"{word} <> '{_ZERO_WORD}'")
+    )
+    named = good.select(
+        "chain_id", F.expr(topic_address_sql(_TOPIC)).alias("address"), *extra, F.expr(word).alias("word")
     )
-    named = good.select("chain_id", F.col("credit_address").alias("address"), *extra, "word")
     return with_limbs(named, "word").drop("word")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import schemas as S
+from ledgerloom.functions.once import compute_once
 
 # --- fixed values: reasons a message is set aside, first match wins ----------------------
 MALFORMED = "malformed json"
@@ -54,12 +55,6 @@ def decode(raw: DataFrame, seq: Column | str = "offset") -> DataFrame:
     order = F.col(seq) if isinstance(seq, str) else seq
     text = F.col("value").cast("string")
     schema = T.StructType([*S.ENVELOPE.fields, T.StructField("_corrupt", T.StringType())])
-    # The one-element explode keeps filters on decoded fields above the parse: pushed
-    # below it they would parse the text once per field they mention.
-    parse = F.struct(
-        F.from_json("raw", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("m"),
-        F.col("raw").rlike(_strict_types()).alias("wrong_type"),
-    )
     coordinates = raw.select(
         order.alias("seq"),
         "topic",
@@ -69,7 +64,14 @@ def decode(raw: DataFrame, seq: Column | str = "offset") -> DataFrame:
         F.octet_length(text).alias("bytes"),
         text.alias("raw"),
     )
-    parsed = coordinates.select("*", F.explode(F.array(parse)).alias("p")).select("*", "p.*").drop("p")
+    parsed = compute_once(
+        coordinates,
+        ["*"],
+        [
+            F.from_json("raw", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("m"),
+            F.col("raw").rlike(_strict_types()).alias("wrong_type"),
+        ],
+    )
     uints = [F.col(f"m.`{n}`") for n in S.envelope_fields("uint")]
     trimmed = F.trim("raw")
     reason = (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import schemas as S
+from ledgerloom.functions.once import compute_once
 from ledgerloom.functions.hexnum import hex_to_bigint_sql, hex_to_decimal_sql
 
 # --- fixed values: response status ---------------------------------------------------------
@@ -48,18 +49,22 @@ def envelope(landed: DataFrame, result: T.DataType, probe: str | None) -> DataFr
             T.StructField("_corrupt", T.StringType()),
         ]
     )
-    parsed = landed.withColumn(
-        "r", F.from_json("value", shape, {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = compute_once(
+        landed,
+        ["*"],
+        [
+            F.from_json("value", shape, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"),
+            # from_json does not tell a null result from a missing one; the raw text does.
+            F.col("value").rlike(r'"result"\s*+:\s*+null').alias("null_result"),
+        ],
     )
     absent = F.col("r.result").isNull()
     if probe:
         absent = absent | (F.coalesce(F.col(f"r.result.{probe}"), F.lit("")) == "")
-    # from_json does not tell a null result from a missing one; the raw text does.
-    has_null_result = F.get_json_object("value", "$").rlike(r'"result"\s*:\s*null')
     status = (
         F.when(F.col("r").isNull() | F.col("r._corrupt").isNotNull(), FAILED)
         .when(F.col("r.error").isNotNull(), FAILED)
-        .when(F.col("r.result").isNull() & ~has_null_result, FAILED)
+        .when(F.col("r.result").isNull() & ~F.col("null_result"), FAILED)
         .when(absent, UNAVAILABLE)
         .otherwise(OK)
     )
@@ -96,17 +101,24 @@ def _ready(landed: DataFrame, result: T.DataType, probe: str | None) -> DataFram
     return envelope(landed, result, probe).where(F.col("status") == OK)
 
 
+def _rows(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """Parsed columns beside the chain; hex is parsed once even when rows are filtered on it."""
+    return compute_once(df, ["chain_id"], columns)
+
+
 def blocks(landed: DataFrame) -> DataFrame:
     """Block rows. ``tx_count`` is the length of the transaction array."""
-    return _ready(landed, S.RPC_BLOCK, "hash").select(
-        "chain_id",
-        _uint("result.number", "block_number"),
-        _lower("result.hash", "block_hash"),
-        _lower("result.parentHash", "parent_hash"),
-        _uint("result.timestamp", "timestamp"),
-        _uint("result.gasLimit", "gas_limit"),
-        _uint("result.gasUsed", "gas_used"),
-        F.coalesce(F.size("result.transactions"), F.lit(0)).cast("bigint").alias("tx_count"),
+    return _rows(
+        _ready(landed, S.RPC_BLOCK, "hash"),
+        [
+            _uint("result.number", "block_number"),
+            _lower("result.hash", "block_hash"),
+            _lower("result.parentHash", "parent_hash"),
+            _uint("result.timestamp", "timestamp"),
+            _uint("result.gasLimit", "gas_limit"),
+            _uint("result.gasUsed", "gas_used"),
+            F.coalesce(F.size("result.transactions"), F.lit(0)).cast("bigint").alias("tx_count"),
+        ],
     )
 
 
@@ -114,56 +126,62 @@ def transactions(landed: DataFrame) -> DataFrame:
     """Transaction rows; number and hash of the block come from the enclosing block."""
     exploded = _ready(landed, S.RPC_BLOCK, "hash").select(
         "chain_id",
-        _uint("result.number", "block_number"),
-        _lower("result.hash", "block_hash"),
+        F.col("result.number").alias("number"),
+        F.col("result.hash").alias("block"),
         F.explode("result.transactions").alias("t"),
     )
-    return exploded.select(
-        "chain_id",
-        _lower("t.hash", "tx_hash"),
-        "block_number",
-        "block_hash",
-        _uint_or_zero("t.transactionIndex", "tx_index"),
-        _lower("t.from", "from_addr"),
-        _lower("t.to", "to_addr"),
-        _decimal("t.value", "value"),
-        _uint_or_zero("t.nonce", "nonce"),
-        _uint_or_zero("t.gas", "gas"),
-        _decimal("t.gasPrice", "gas_price"),
-        _text("t.input", "input"),
-        _uint_or_zero("t.type", "tx_type"),
+    return _rows(
+        exploded,
+        [
+            _lower("t.hash", "tx_hash"),
+            _uint("number", "block_number"),
+            _lower("block", "block_hash"),
+            _uint_or_zero("t.transactionIndex", "tx_index"),
+            _lower("t.from", "from_addr"),
+            _lower("t.to", "to_addr"),
+            _decimal("t.value", "value"),
+            _uint_or_zero("t.nonce", "nonce"),
+            _uint_or_zero("t.gas", "gas"),
+            _decimal("t.gasPrice", "gas_price"),
+            _text("t.input", "input"),
+            _uint_or_zero("t.type", "tx_type"),
+        ],
     )
 
 
 def receipts(landed: DataFrame) -> DataFrame:
-    return _ready(landed, S.RPC_RECEIPT, "transactionHash").select(
-        "chain_id",
-        _lower("result.transactionHash", "tx_hash"),
-        _uint_or_zero("result.blockNumber", "block_number"),
-        _lower("result.blockHash", "block_hash"),
-        _uint_or_zero("result.transactionIndex", "tx_index"),
-        _uint_or_zero("result.status", "status"),
-        _uint_or_zero("result.cumulativeGasUsed", "cumulative_gas_used"),
-        _uint_or_zero("result.gasUsed", "gas_used"),
-        _lower("result.contractAddress", "contract_address"),
-        _text("result.logsBloom", "logs_bloom"),
-        _decimal("result.effectiveGasPrice", "effective_gas_price"),
+    return _rows(
+        _ready(landed, S.RPC_RECEIPT, "transactionHash"),
+        [
+            _lower("result.transactionHash", "tx_hash"),
+            _uint_or_zero("result.blockNumber", "block_number"),
+            _lower("result.blockHash", "block_hash"),
+            _uint_or_zero("result.transactionIndex", "tx_index"),
+            _uint_or_zero("result.status", "status"),
+            _uint_or_zero("result.cumulativeGasUsed", "cumulative_gas_used"),
+            _uint_or_zero("result.gasUsed", "gas_used"),
+            _lower("result.contractAddress", "contract_address"),
+            _text("result.logsBloom", "logs_bloom"),
+            _decimal("result.effectiveGasPrice", "effective_gas_price"),
+        ],
     )
 
 
 def logs(landed: DataFrame) -> DataFrame:
     """Log rows of array responses; block number and index are mandatory."""
     exploded = _ready(landed, S.RPC_LOGS, None).select("chain_id", F.explode("result").alias("l"))
-    return exploded.select(
-        "chain_id",
-        _uint("l.blockNumber", "block_number"),
-        _lower("l.blockHash", "block_hash"),
-        _lower("l.transactionHash", "tx_hash"),
-        _uint("l.logIndex", "log_index"),
-        _lower("l.address", "address"),
-        _text("l.data", "data"),
-        F.coalesce(F.col("l.topics"), F.array().cast("array<string>")).alias("topics"),
-        F.coalesce(F.col("l.removed"), F.lit(False)).alias("removed"),
+    return _rows(
+        exploded,
+        [
+            _uint("l.blockNumber", "block_number"),
+            _lower("l.blockHash", "block_hash"),
+            _lower("l.transactionHash", "tx_hash"),
+            _uint("l.logIndex", "log_index"),
+            _lower("l.address", "address"),
+            _text("l.data", "data"),
+            F.coalesce(F.col("l.topics"), F.array().cast("array<string>")).alias("topics"),
+            F.coalesce(F.col("l.removed"), F.lit(False)).alias("removed"),
+        ],
     )
 
 
