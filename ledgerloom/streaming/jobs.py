@@ -60,6 +60,7 @@ def start_changelog(
     seq: Column | str = "offset",
     after_batch: Callable[[SparkSession, int], None] | None = None,
     trigger: dict | None = None,
+    width: int = BLOCK_BUCKET,
 ) -> StreamingQuery:
     """Decode a message stream into the changelog.
 
@@ -69,7 +70,7 @@ def start_changelog(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        store_batch(batch, batch_id, path)
+        store_batch(batch, batch_id, path, width)
         if after_batch:
             after_batch(batch.sparkSession, batch_id)
 
@@ -85,24 +86,24 @@ def start_changelog(
 # --- balances kept per block bucket --------------------------------------------------------
 
 
-def touched_buckets(batch: DataFrame, changelog: DataFrame, width: int) -> DataFrame:
+def touched_buckets(batch: DataFrame, changelog: DataFrame) -> DataFrame:
     """(chain_id, block_bucket) whose logs a batch may change.
 
-    Its logs touch their own bucket; a reorg marker touches every bucket with logs of its
-    chain from the marker's block upwards. Only partition columns of the changelog are read.
+    Its logs touch their own bucket; a reorg marker touches every bucket that holds logs of
+    its chain from the marker's block upwards.
     """
-    lowest = R.markers(batch).groupBy("chain_id").agg(
-        F.min(F.expr(f"from_block div {width}")).alias("_from")
-    )
-    logs = F.col("kind") == S.LOG
-    rewound = (
-        changelog.where(logs)
-        .select("chain_id", "block_bucket")
-        .join(small_side(lowest), "chain_id")
-        .where(F.col("block_bucket") >= F.col("_from"))
-        .select("chain_id", "block_bucket")
-    )
-    return batch.where(logs).select("chain_id", "block_bucket").unionByName(rewound).distinct()
+    is_log = F.col("kind") == S.LOG
+    touched = batch.where(is_log).select("chain_id", "block_bucket")
+    first = R.markers(batch).agg(F.min("from_block")).first()[0]
+    if first is not None:
+        lowest = R.markers(batch).groupBy("chain_id").agg(F.min("from_block").alias("_from"))
+        rewound = (
+            changelog.where(is_log & (F.col("block_number") >= first))  # prunes to the head
+            .join(small_side(lowest), "chain_id")
+            .where(F.col("block_number") >= F.col("_from"))
+        )
+        touched = touched.unionByName(rewound.select("chain_id", "block_bucket"))
+    return touched.distinct()
 
 
 def refresh_balances(
@@ -111,7 +112,6 @@ def refresh_balances(
     batch_id: int,
     path: str,
     event_id: str,
-    width: int = BLOCK_BUCKET,
 ) -> None:
     """Recompute the limb sums of the buckets a batch touched, from the changelog.
 
@@ -120,7 +120,7 @@ def refresh_balances(
     """
     changelog = read_changelog(spark, changelog_path)
     batch = changelog.where(F.col("batch_id") == batch_id)
-    touched = touched_buckets(batch, changelog, width)
+    touched = touched_buckets(batch, changelog)
     lowest = touched.agg(F.min("block_bucket")).first()[0]
     if lowest is None:
         return

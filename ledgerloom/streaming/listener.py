@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 
 class ProgressCounters(StreamingQueryListener):
-    """Feeds ``commit_errors`` and ``fetch_errors`` of the metrics query."""
+    """Feeds the metrics query: a failure while storing a batch is a commit error, any other a fetch error."""
 
     def __init__(self) -> None:
         self._lock = Lock()
@@ -31,9 +31,9 @@ class ProgressCounters(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         if not event.exception:
             return
-        stored = "FOREACH_BATCH" in event.exception or "foreachBatch" in event.exception
+        in_batch = (event.errorClassOnException or "").startswith("FOREACH_BATCH")
         with self._lock:
-            if stored:
+            if in_batch:
                 self.commit_errors += 1
             else:
                 self.fetch_errors += 1

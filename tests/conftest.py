@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
     session = build_session("tests", "local[4]", **{
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "4",
+        "spark.sql.maxMetadataStringLength": "10000",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     })
     session.sparkContext.setLogLevel("ERROR")
