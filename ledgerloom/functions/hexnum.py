@@ -135,7 +135,7 @@ def limbs_to_text(df: DataFrame, out: str) -> DataFrame:
     """Replace summed limb columns by the exact decimal text of their value.
 
     Bits 24..62 of each sum are moved to the next place first, which leaves every
-    place below 2^40. Values below 2^120 then fit a DECIMAL(38,0).
+    place below 2^40. Sums below 2^120, and somewhat above, then fit a DECIMAL(38,0).
     """
     kept = [c for c in df.columns if c not in LIMB_COLUMNS]
     names = [f"place_{k}" for k in range(LIMBS + 1)]
@@ -145,8 +145,8 @@ def limbs_to_text(df: DataFrame, out: str) -> DataFrame:
         carried = f"shiftright(limb_{k - 1}, {LIMB_BITS})" if k else "0L"
         places.append(F.expr(f"{own} + {carried}").alias(name))
     staged = df.select(*kept, *places)
-    narrow = " + ".join(f"{n} * {1 << (LIMB_BITS * k)}BD" for k, n in enumerate(names[:4]))
-    is_narrow = " and ".join(f"{n} = 0" for n in names[4:])
+    narrow = " + ".join(f"{n} * {1 << (LIMB_BITS * k)}BD" for k, n in enumerate(names[:5]))
+    is_narrow = f"place_4 < {1 << 28}L and " + " and ".join(f"{n} = 0" for n in names[5:])
     wide = horner_text_sql(f"array({', '.join(reversed(names))})")
     text = f"case when {is_narrow} then cast({narrow} as string) else {wide} end"
     return staged.select(*kept, F.expr(text).alias(out))

@@ -72,3 +72,11 @@ def test_fixed_hex():
     assert H.is_fixed_hex("0x" + "aB" * 20, 42)
     assert not H.is_fixed_hex("0x" + "ag" * 20, 42)
     assert not H.is_fixed_hex("aB" * 21, 42)
+
+
+@pytest.mark.parametrize("shift", [95, 96, 97, 119, 120, 121, 123, 124, 125, 126, 127])
+def test_sums_around_the_decimal_bound(spark, shift):
+    value = (1 << shift) - 1
+    df = spark.createDataFrame([(1, f"{value:064x}")] * 40, "g int, w string")
+    total = H.limbs_to_text(H.with_limbs(df, "w").groupBy("g").agg(*H.sum_limbs()), "total")
+    assert total.first().total == str(40 * value)
