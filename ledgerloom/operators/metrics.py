@@ -33,11 +33,15 @@ def max_lag(messages: DataFrame, processed_at: Column) -> DataFrame:
     return oldest.select("topic", "partition", lag_seconds(processed_at).alias("max_lag_seconds"))
 
 
-def last_message(messages: DataFrame) -> DataFrame:
-    """Coordinates and size of the latest message."""
+def latest_row(messages: DataFrame) -> DataFrame:
+    """Coordinates and size of the latest message; one row, of NULLs when there is none."""
     row = F.struct("topic", "partition", "offset", "bytes", "message_time")
     latest = F.max_by(row, F.struct("message_time", "offset", "partition", "topic"))
-    return messages.agg(latest.alias("m")).where(F.col("m").isNotNull()).select("m.*")
+    return messages.agg(latest.alias("m")).select("m.*")
+
+
+def last_message(messages: DataFrame) -> DataFrame:
+    return latest_row(messages).where(F.col("topic").isNotNull())
 
 
 def errors(dead: DataFrame) -> DataFrame:

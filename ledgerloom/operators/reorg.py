@@ -136,8 +136,9 @@ def fork_points(compared: DataFrame, state: DataFrame) -> DataFrame:
         .where(F.col("block_number") <= F.col("tip"))
         .groupBy("chain_id", "tip")
         .agg(
-            F.max(F.when(at_tip, F.col("block_hash"))).alias("tip_hash"),
-            F.max(F.when(at_tip, F.col("node_hash"))).alias("node_tip_hash"),
+            # Flags instead of hashes keep the buffers fixed-width: a hash aggregate, no sort.
+            F.max(at_tip).alias("stored_tip"),
+            F.max(at_tip & F.col("node_hash").isNotNull()).alias("node_tip"),
             F.max(F.when(at_tip, F.col("same"))).alias("tip_same"),
             F.max(F.when(below & F.col("same"), F.col("block_number"))).alias("fork_block"),
             F.max(F.when(below & F.col("node_hash").isNull(), F.col("block_number")))
@@ -154,8 +155,8 @@ def detect(stored: DataFrame, canonical: DataFrame, state: DataFrame) -> DataFra
     """
     missing_above = F.col("highest_missing") > F.coalesce(F.col("fork_block"), F.lit(-1))
     status = (
-        F.when(F.col("tip_hash").isNull(), "unchecked")
-        .when(F.col("node_tip_hash").isNull(), "unavailable")
+        F.when(~F.col("stored_tip"), "unchecked")
+        .when(~F.col("node_tip"), "unavailable")
         .when(F.col("tip_same"), "ok")
         .when(missing_above, "unavailable")
         .otherwise("reorg")

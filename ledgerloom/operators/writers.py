@@ -93,7 +93,11 @@ def delete_from(table: DataFrame, chain_id: int, from_block: int) -> DataFrame:
 
 def set_state(updates: DataFrame, order: str = "seq") -> DataFrame:
     """Watermark per chain from ordered (chain_id, last_processed_block) updates."""
-    return last_writer(updates, S.STATE_KEY, order)
+    # Single columns, not a row: fixed-width buffers stay in a hash aggregate.
+    return updates.groupBy(*S.STATE_KEY).agg(
+        F.max_by("last_processed_block", order).alias("last_processed_block"),
+        F.max(order).alias(order),
+    )
 
 
 def clear_state(state: DataFrame, chain_ids: list[int]) -> DataFrame:

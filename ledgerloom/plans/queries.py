@@ -91,19 +91,18 @@ def metrics(
 ) -> DataFrame:
     """All metrics as rows (metric, topic, partition, value).
 
-    The changelog is read once, down to one row per topic and partition; totals per topic
-    and overall are grouping sets over those few rows.
+    The counters are reduced to one row per topic and partition in a hash aggregate, and
+    totals per topic and overall are grouping sets over those few rows. The last message is
+    a second pass over its narrow columns: beside the counters it would force a sort.
     """
     kind, block = F.col("kind"), F.col("block_number")
     is_log = kind == S.LOG
-    place = F.struct("message_time", "offset", "partition", "topic", "bytes")
     per_partition = changelog.groupBy("topic", "partition").agg(
         F.count("*").alias("messages"),
         F.count_if(is_log).alias("logs"),
         F.count_if(F.col("dead_stage") == "decode").alias("decode_errors"),
         F.count_if(F.col("dead_stage") == "apply").alias("apply_errors"),
         F.min("message_time").alias("oldest"),
-        F.max(place).alias("last"),
         F.min(F.when(is_log, block)).alias("batch_from"),
         F.max(F.when(is_log, block)).alias("batch_to"),
     )
@@ -113,7 +112,6 @@ def metrics(
         F.grouping_id().alias("level"),
         *[F.sum(c).alias(c) for c in ("messages", "logs", "decode_errors", "apply_errors")],
         F.min("oldest").alias("oldest"),
-        F.max("last").alias("last"),
         F.min("batch_from").alias("batch_from"),
         F.max("batch_to").alias("batch_to"),
     )
@@ -137,13 +135,7 @@ def metrics(
         metric("messages_total", F.coalesce("messages", F.lit(0))),
         metric("decode_errors_total", F.coalesce("decode_errors", F.lit(0))),
         metric("apply_errors_total", F.coalesce("apply_errors", F.lit(0))),
-        metric("last_partition", F.coalesce("last.partition", F.lit(0))),
-        metric("last_offset", F.coalesce("last.offset", F.lit(0))),
-        metric("last_bytes", F.coalesce("last.bytes", F.lit(0))),
-        metric("last_timestamp_seconds", F.unix_seconds("last.message_time")),
-        metric("last_lag_seconds", seconds("last.message_time")),
         metric("max_lag_seconds", seconds("oldest")),
-        metric("last_topic", F.lit(1), F.col("last.topic")),
     )
     per_topic = F.array(metric("topic_messages_total", F.col("messages")))
     per_part = F.array(
@@ -156,27 +148,48 @@ def metrics(
             F.when(F.col("level") == 3, overall).when(F.col("level") == 1, per_topic).otherwise(per_part)
         ).alias("m"),
     ).select("m.metric", "m.topic", "partition", "m.value")
-    # Lags are reported only when positive, the last message only when there is one.
-    shown = F.col("value").isNotNull() & (
-        ~F.col("metric").endswith("lag_seconds") | (F.col("value") > 0)
+    nothing = F.lit(None).cast("string")
+    of_last = F.array(
+        metric("last_partition", F.coalesce("partition", F.lit(0)), nothing),
+        metric("last_offset", F.coalesce("offset", F.lit(0)), nothing),
+        metric("last_bytes", F.coalesce("bytes", F.lit(0)), nothing),
+        metric("last_timestamp_seconds", F.unix_seconds("message_time"), nothing),
+        metric("last_lag_seconds", seconds("message_time"), nothing),
+        metric("last_topic", F.when(F.col("topic").isNotNull(), 1), F.col("topic")),
+    )
+    last = X.latest_row(changelog).select(F.explode(of_last).alias("m")).select(
+        "m.metric", "m.topic", F.lit(None).cast("int").alias("partition"), "m.value"
+    )
+    # Lags are reported only when positive.
+    rows = rows.unionByName(last).where(
+        F.col("value").isNotNull() & (~F.col("metric").endswith("lag_seconds") | (F.col("value") > 0))
     )
-    rows = rows.where(shown & ~((F.col("metric") == "last_topic") & F.col("topic").isNull()))
 
     running = F.unix_micros(processed_at) - F.unix_micros(started_at)
     uptime = F.rint(running / F.lit(1e6)).cast("bigint")
+    # Without messages there are no totals to report: these counters then stay zero.
+    counters = (
+        "last_batch_from", "last_batch_to", "last_batch_count", "logs_total", "messages_total",
+        "decode_errors_total", "apply_errors_total",
+    )
     heights = X.block_lag(latest, watermarks).select(
         F.explode(
             F.array(
-                metric("uptime_seconds", uptime, F.lit(None).cast("string")),
-                metric("latest_block", F.col("latest_block"), F.lit(None).cast("string")),
-                metric("last_processed_block", F.col("last_processed_block"), F.lit(None).cast("string")),
-                metric("block_lag", F.col("block_lag"), F.lit(None).cast("string")),
-                metric("commit_errors_total", F.lit(commit_errors), F.lit(None).cast("string")),
-                metric("fetch_errors_total", F.lit(fetch_errors), F.lit(None).cast("string")),
+                metric("uptime_seconds", uptime, nothing),
+                metric("latest_block", F.col("latest_block"), nothing),
+                metric("last_processed_block", F.col("last_processed_block"), nothing),
+                metric("block_lag", F.col("block_lag"), nothing),
+                metric("commit_errors_total", F.lit(commit_errors), nothing),
+                metric("fetch_errors_total", F.lit(fetch_errors), nothing),
+                *[metric(name, F.lit(0), nothing) for name in counters],
             )
         ).alias("m")
     ).select("m.metric", "m.topic", F.lit(None).cast("int").alias("partition"), "m.value")
-    return rows.unionByName(heights)
+    return (
+        rows.unionByName(heights)
+        .groupBy("metric", "topic", "partition")
+        .agg(F.max("value").alias("value"))
+    )
 
 
 def summary(table: DataFrame, wanted: Q.LogFilter = Q.LogFilter()) -> DataFrame:

@@ -59,3 +59,4 @@ def test_metrics_of_an_empty_changelog(spark):
     assert got["uptime_seconds"] == 10 and got["latest_block"] == 7 and got["block_lag"] == 0
     assert got["commit_errors_total"] == 2 and got["fetch_errors_total"] == 3
     assert "max_lag_seconds" not in got and "last_topic" not in got
+    assert got["last_partition"] == got["last_offset"] == got["last_bytes"] == got["messages_total"] == 0
