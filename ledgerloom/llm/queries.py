@@ -88,7 +88,7 @@ ORACLE: dict[str, str] = {
             sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
             cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
             sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-            cast(sum(length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 25) as bigint) as formatted_chars,
+            cast(sum(length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 24) as bigint) as formatted_chars,
             cast(0 as bigint) as n_rewrites
         from said group by conv_id""",
     "op3_minhash_dedup": r"""
@@ -96,7 +96,7 @@ ORACLE: dict[str, str] = {
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
         ), sets as (
             select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-                else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end as s from worded
+                else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from worded
         ), flat as (select doc_id, len(s) as n, unnest(s) as g from sets),
         pairs as (
             select a.doc_id as a, b.doc_id as b from flat a join flat b on a.g = b.g and a.doc_id != b.doc_id
