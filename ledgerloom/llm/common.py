@@ -75,7 +75,7 @@ def split_words(lists: pa.ListArray) -> tuple[np.ndarray, list, np.ndarray]:
 class WordIndex:
     """Numbers words as they are first seen and calls ``add(new_words)`` for them. Forgets all beyond ``most``."""
 
-    def __init__(self, add: Callable[[list], None], reset: Callable[[], None], most: int = 600_000):
+    def __init__(self, add: Callable[[list], None], reset: Callable[[], None], most: int = 400_000):
         self.add, self.reset, self.most, self.known = add, reset, most, {}
 
     def numbers(self, words: list) -> np.ndarray:
