@@ -123,13 +123,6 @@ def logs_after(logs: DataFrame, chain_id: int, block: int, log_index: int, limit
     return page.orderBy(*LOG_ORDER).limit(effective_limit(limit, S.DEFAULT_PAGE, S.MAX_PAGE))
 
 
-def block_hash(blocks: DataFrame, chain_id: int, block_number: int) -> DataFrame:
-    """Stored hash of one block; no row when it is absent."""
-    return blocks.where(
-        (F.col("chain_id") == chain_id) & (F.col("block_number") == block_number)
-    ).select("chain_id", "block_number", "block_hash")
-
-
 def block_hashes(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     """Stored hashes of many (chain_id, block_number); absent blocks have no row."""
     return wanted.select(*S.BLOCK_KEY).distinct().join(

@@ -59,12 +59,3 @@ def block_lag(latest: DataFrame, state: DataFrame) -> DataFrame:
     return heights.agg(
         *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("latest_block", "last_processed_block")]
     ).withColumn("block_lag", F.when((last > 0) & (head >= last), head - last).otherwise(0))
-
-
-def last_batch(logs: DataFrame) -> DataFrame:
-    """Block span and size of a batch of logs."""
-    return logs.agg(
-        F.coalesce(F.min("block_number"), F.lit(0)).alias("from_block"),
-        F.coalesce(F.max("block_number"), F.lit(0)).alias("to_block"),
-        F.count("*").alias("log_count"),
-    )

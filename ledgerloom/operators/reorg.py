@@ -11,101 +11,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
-from ledgerloom.operators.sizing import MAX_BROADCAST_ROWS, fits, small_side
 
-# Width of a seq bucket on the path for many markers: the most rows of one chain that
-# meet in one join group, as seq is unique per chain.
-SEQ_BUCKET = 1 << 16
+# Blocks of one bucket when markers are matched: the most steps a row is compared with.
+STEP_WIDTH = 64
 
 
 def markers(changelog: DataFrame) -> DataFrame:
     return changelog.where(F.col("kind") == S.REORG).select("chain_id", "seq", "from_block")
 
 
-def invalidate(
-    rows: DataFrame,
-    reorgs: DataFrame,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-    seq_bucket: int = SEQ_BUCKET,
-) -> DataFrame:
-    """Rows (chain_id, block_number, seq, ...) no later marker orphans.
+def invalidate(rows: DataFrame, reorgs: DataFrame, width: int = STEP_WIDTH) -> DataFrame:
+    """Rows (chain_id, block_number, seq, ...) no later marker orphans, for any numeric ``seq``.
 
-    Few markers: reduced to the ones that matter and broadcast, so the rows are not
-    shuffled at all. Many markers: a join on (chain, seq bucket), whose groups are bounded.
+    A row is orphaned if the latest marker at or below its block came after it. Markers act
+    through their block bucket: markers of lower buckets by one number, the latest of them,
+    and those of the row's own bucket by their steps, of which there are ``width`` at most.
+    Only buckets with a row older than such a marker are joined, usually a few near forks;
+    whether that side is broadcast, and how a busy bucket is split, is left to the runtime
+    plan. The rows are read twice, the first time three narrow columns of them.
     """
-    if fits(reorgs, max_broadcast_rows):
-        return _invalidate_broadcast(rows, reorgs)
-    return _invalidate_bucketed(rows, reorgs, seq_bucket)
-
-
-def effective_markers(reorgs: DataFrame) -> DataFrame:
-    """Markers not covered by a later marker at or below their block.
-
-    What remains rises in both seq and from_block. The window holds one chain's markers,
-    which the caller has checked to be few.
-    """
-    later = (
-        Window.partitionBy("chain_id")
-        .orderBy(F.col("seq").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    covered = F.min("from_block").over(later)
-    return (
-        reorgs.withColumn("_later", covered)
-        .where(F.col("_later").isNull() | (F.col("from_block") < F.col("_later")))
-        .drop("_later")
+    bucket = F.expr(f"block_number div {width}").alias("_bucket")
+    marked = reorgs.select(
+        "chain_id", F.expr(f"from_block div {width}").alias("_bucket"), "from_block", "seq"
     )
-
-
-def _invalidate_broadcast(rows: DataFrame, reorgs: DataFrame) -> DataFrame:
-    r = F.broadcast(effective_markers(reorgs)).alias("r")
-    m = rows.alias("m")
-    return m.join(
-        r,
-        (F.col("m.chain_id") == F.col("r.chain_id"))
-        & (F.col("m.seq") < F.col("r.seq"))
-        & (F.col("m.block_number") >= F.col("r.from_block")),
-        "left_anti",
-    )
-
-
-def _invalidate_bucketed(rows: DataFrame, reorgs: DataFrame, width: int) -> DataFrame:
-    """Exact without a broadcast.
-
-    Markers of later buckets act through one number per (chain, bucket): the lowest
-    ``from_block`` still to come. Markers of the row's own bucket are joined directly.
-    """
-    bucket = F.expr(f"cast(seq div {width} as bigint)")
-    keyed = rows.withColumn("_bucket", bucket)
-    marked = reorgs.withColumn("_bucket", bucket)
-
-    # One row per (chain, bucket): the window is over buckets, not rows.
-    buckets = (
-        keyed.select("chain_id", "_bucket", F.lit(None).cast("bigint").alias("_low"))
-        .unionByName(marked.select("chain_id", "_bucket", F.col("from_block").alias("_low")))
+    steps = (
+        marked.groupBy("chain_id", "_bucket", "from_block")
+        .agg(F.max("seq").alias("seq"))
         .groupBy("chain_id", "_bucket")
-        .agg(F.min("_low").alias("_low"))
+        .agg(F.collect_list(F.struct("from_block", "seq")).alias("_steps"), F.max("seq").alias("_latest"))
     )
-    later = (
+    # The window is over the buckets of a chain: its height divided by the width.
+    earlier = (
         Window.partitionBy("chain_id")
-        .orderBy(F.col("_bucket").desc())
+        .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    ahead = buckets.select("chain_id", "_bucket", F.min("_low").over(later).alias("_later"))
-    survivors = (
-        keyed.join(ahead, ["chain_id", "_bucket"])
-        .where(F.col("_later").isNull() | (F.col("block_number") < F.col("_later")))
-        .drop("_later")
+    acting = (
+        rows.select("chain_id", bucket, "seq")
+        .groupBy("chain_id", "_bucket")
+        .agg(F.min("seq").alias("_oldest"))
+        .join(steps, ["chain_id", "_bucket"], "full")
+        .withColumn("_below", F.max("_latest").over(earlier))
+        .where(F.greatest("_below", "_latest") > F.col("_oldest"))
+        .select("chain_id", "_bucket", "_below", "_steps")
+    )
+    own = F.exists("_steps", lambda m: (m["from_block"] <= F.col("block_number")) & (m["seq"] > F.col("seq")))
+    orphaned = F.coalesce(F.col("_below") > F.col("seq"), F.lit(False)) | F.coalesce(own, F.lit(False))
+    return (
+        rows.withColumn("_bucket", F.expr(f"block_number div {width}"))
+        .join(acting, ["chain_id", "_bucket"], "left")
+        .where(~orphaned)
+        .select(*rows.columns)
     )
-    m, r = survivors.alias("m"), marked.alias("r")
-    return m.join(
-        r,
-        (F.col("m.chain_id") == F.col("r.chain_id"))
-        & (F.col("m._bucket") == F.col("r._bucket"))
-        & (F.col("m.seq") < F.col("r.seq"))
-        & (F.col("m.block_number") >= F.col("r.from_block")),
-        "left_anti",
-    ).drop("_bucket")
 
 
 # --- comparing with the node ---------------------------------------------------------------
@@ -132,7 +89,7 @@ def fork_points(compared: DataFrame, state: DataFrame) -> DataFrame:
     at_tip = F.col("block_number") == F.col("tip")
     below = F.col("block_number") < F.col("tip")
     return (
-        compared.join(small_side(tips), "chain_id")
+        compared.join(tips, "chain_id")
         .where(F.col("block_number") <= F.col("tip"))
         .groupBy("chain_id", "tip")
         .agg(
@@ -194,7 +151,7 @@ def watermarks(changelog: DataFrame) -> DataFrame:
     moves = changelog.where(~F.col("kind").isin(S.REORG, S.DEAD_LETTER)).select(
         "chain_id", "seq", "block_number"
     )
-    after = moves.join(small_side(last), "chain_id", "left").where(
+    after = moves.join(last, "chain_id", "left").where(
         F.col("_marker").isNull() | (F.col("seq") > F.col("_marker"))
     )
     rewound = last.where(F.col("_from") > 0).select(

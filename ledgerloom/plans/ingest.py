@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import completeness as C
 from ledgerloom.operators import messages as M
-from ledgerloom.operators.sizing import small_side
 
 
 def next_ranges(
@@ -44,7 +43,7 @@ def next_ranges(
 
 def in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows inside the range of their chain. ``ranges`` has one row per chain."""
-    r = small_side(ranges).alias("r")
+    r = ranges.alias("r")
     m = rows.alias("m")
     return m.join(
         r,

@@ -97,20 +97,27 @@ def metrics(
     """
     kind, block = F.col("kind"), F.col("block_number")
     is_log = kind == S.LOG
+    in_last = is_log
+    if "batch_id" in changelog.columns:
+        # stored changelogs name the batch of a row; without it all rows are one batch
+        newest = changelog.agg(F.max("batch_id").alias("_newest"))
+        changelog = changelog.join(F.broadcast(newest), F.col("batch_id") == F.col("_newest"), "left")
+        in_last = is_log & F.col("_newest").isNotNull()
     per_partition = changelog.groupBy("topic", "partition").agg(
         F.count("*").alias("messages"),
         F.count_if(is_log).alias("logs"),
         F.count_if(F.col("dead_stage") == "decode").alias("decode_errors"),
         F.count_if(F.col("dead_stage") == "apply").alias("apply_errors"),
         F.min("message_time").alias("oldest"),
-        F.min(F.when(is_log, block)).alias("batch_from"),
-        F.max(F.when(is_log, block)).alias("batch_to"),
+        F.min(F.when(in_last, block)).alias("batch_from"),
+        F.max(F.when(in_last, block)).alias("batch_to"),
+        F.count_if(in_last).alias("batch_logs"),
     )
     totals = per_partition.groupingSets(
         [[], [F.col("topic")], [F.col("topic"), F.col("partition")]], "topic", "partition"
     ).agg(
         F.grouping_id().alias("level"),
-        *[F.sum(c).alias(c) for c in ("messages", "logs", "decode_errors", "apply_errors")],
+        *[F.sum(c).alias(c) for c in ("messages", "logs", "batch_logs", "decode_errors", "apply_errors")],
         F.min("oldest").alias("oldest"),
         F.min("batch_from").alias("batch_from"),
         F.max("batch_to").alias("batch_to"),
@@ -130,7 +137,7 @@ def metrics(
     overall = F.array(
         metric("last_batch_from", F.coalesce("batch_from", F.lit(0))),
         metric("last_batch_to", F.coalesce("batch_to", F.lit(0))),
-        metric("last_batch_count", F.coalesce("logs", F.lit(0))),
+        metric("last_batch_count", F.coalesce("batch_logs", F.lit(0))),
         metric("logs_total", F.coalesce("logs", F.lit(0))),
         metric("messages_total", F.coalesce("messages", F.lit(0))),
         metric("decode_errors_total", F.coalesce("decode_errors", F.lit(0))),
@@ -190,7 +197,3 @@ def metrics(
         .groupBy("metric", "topic", "partition")
         .agg(F.max("value").alias("value"))
     )
-
-
-def summary(table: DataFrame, wanted: Q.LogFilter = Q.LogFilter()) -> DataFrame:
-    return A.top_transaction_summary(table, wanted)

@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 # spark.checkpoint.dir) belongs to spark-submit and is not touched here.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    # limb sums beyond a BIGINT must raise, not wrap
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,6 @@ from ledgerloom.operators import balances as B
 from ledgerloom.operators import messages as M
 from ledgerloom.operators import reorg as R
 from ledgerloom.operators import writers as W
-from ledgerloom.operators.sizing import small_side
 from ledgerloom.sources.tables import BLOCK_BUCKET
 
 _LONG, _TEXT = T.LongType(), T.StringType()
@@ -53,6 +53,15 @@ def read_changelog(spark: SparkSession, path: str, seq: T.DataType = _LONG) -> D
     return spark.read.schema(changelog_schema(seq)).option("basePath", path).parquet(path)
 
 
+def stored_seq(spark: SparkSession, path: str, batch_id: int) -> T.DataType:
+    """The type in which a batch stored its ``seq``; an empty batch has none and counts as BIGINT."""
+    try:
+        stored = spark.read.parquet(f"{path}/batch_id={batch_id}").schema
+    except AnalysisException:
+        return _LONG
+    return stored["seq"].dataType
+
+
 def start_changelog(
     messages: DataFrame,
     path: str,
@@ -98,8 +107,8 @@ def touched_buckets(batch: DataFrame, changelog: DataFrame) -> DataFrame:
     if first is not None:
         lowest = R.markers(batch).groupBy("chain_id").agg(F.min("from_block").alias("_from"))
         rewound = (
-            changelog.where(is_log & (F.col("block_number") >= first))  # prunes to the head
-            .join(small_side(lowest), "chain_id")
+            changelog.where(is_log & (F.col("block_number") >= first))  # skips row groups below
+            .join(lowest, "chain_id")
             .where(F.col("block_number") >= F.col("_from"))
         )
         touched = touched.unionByName(rewound.select("chain_id", "block_bucket"))
@@ -118,7 +127,7 @@ def refresh_balances(
     Sums are replaced per (chain, bucket), never added to, so duplicates, reorgs and
     repeated batches all come out right. An empty row marks a bucket whose logs all went.
     """
-    changelog = read_changelog(spark, changelog_path)
+    changelog = read_changelog(spark, changelog_path, stored_seq(spark, changelog_path, batch_id))
     batch = changelog.where(F.col("batch_id") == batch_id)
     touched = touched_buckets(batch, changelog)
     lowest = touched.agg(F.min("block_bucket")).first()[0]
@@ -129,7 +138,7 @@ def refresh_balances(
         (F.col("kind") == S.REORG) | ((F.col("kind") == S.LOG) & (F.col("block_bucket") >= lowest))
     )
     rows = M.to_logs(recent, "seq", "block_bucket").join(
-        small_side(touched), ["chain_id", "block_bucket"], "left_semi"
+        touched, ["chain_id", "block_bucket"], "left_semi"
     )
     alive = R.invalidate(W.normalise_logs(rows), R.markers(recent))
     sums = B.partial_sums(

@@ -12,44 +12,71 @@ from ledgerloom.streaming.jobs import changelog_schema
 EVENT = "0x" + "ab" * 32
 
 
-def test_broadcast_and_bucketed_invalidation_agree(spark):
+def orphans(rows, marks):
+    return sorted(r for r in rows if not any(m[0] == r[0] and m[1] > r[2] and m[2] <= r[1] for m in marks))
+
+
+@pytest.mark.parametrize("seq_type", ["bigint", "decimal(38,0)", "double"])
+@pytest.mark.parametrize("width", [1, 7, 64, 100000])
+def test_invalidation_agrees_with_a_count_of_pairs(spark, seq_type, width):
     rng = random.Random(11)
     rows, marks = [], []
-    for seq in range(1500):
+    for step in range(1500):
+        # orders of several partitions are far apart and not dense
+        seq = step * 10**15 + rng.randrange(1000) if seq_type == "decimal(38,0)" else step
         chain = 1 if rng.random() < 0.7 else 2
-        block = seq // 10 + rng.randint(-3, 3)
+        block = step // 10 + rng.randint(-3, 3)
         if rng.random() < 0.02:
             marks.append((chain, seq, max(block - rng.randint(0, 60), 0)))
         else:
             rows.append((chain, block, seq))
-    table = spark.createDataFrame(rows, "chain_id bigint, block_number bigint, seq bigint")
-    reorgs = spark.createDataFrame(marks, "chain_id bigint, seq bigint, from_block bigint")
-    want = sorted(
-        r for r in rows if not any(m[0] == r[0] and m[1] > r[2] and m[2] <= r[1] for m in marks)
-    )
-    few = R.invalidate(table, reorgs)
-    assert sorted(map(tuple, few.collect())) == want
+    table = spark.createDataFrame([(c, b, str(s)) for c, b, s in rows], "chain_id bigint, block_number bigint, s string")
+    reorgs = spark.createDataFrame([(c, str(s), b) for c, s, b in marks], "chain_id bigint, s string, from_block bigint")
+    table = table.select("chain_id", "block_number", F.col("s").cast(seq_type).alias("seq"))
+    reorgs = reorgs.select("chain_id", F.col("s").cast(seq_type).alias("seq"), "from_block")
+    found = R.invalidate(table, reorgs, width)
+    assert found.columns == table.columns
+    want = orphans(rows, marks)
+    assert sorted((r[0], r[1], int(r[2])) for r in found.collect()) == want
     assert 0 < len(want) < len(rows)
-    for width in (1, 7, 64, 100000):
-        many = R.invalidate(table, reorgs, max_broadcast_rows=0, seq_bucket=width)
-        assert sorted(map(tuple, many.select("chain_id", "block_number", "seq").collect())) == want
+
+
+def test_invalidation_with_thousands_of_markers_and_arrival_order(spark):
+    rng = random.Random(5)
+    rows, marks, stamp = [], [], 1_700_000_000_000
+    for step in range(9000):
+        seq = (stamp + step) * 10**25 + rng.randrange(3) * 10**19 + step
+        block = step // 2 + rng.randint(-40, 2)
+        if rng.random() < 0.4:
+            marks.append((1, seq, max(block - rng.randint(0, 20), 0)))
+        else:
+            rows.append((1, block, seq))
+    as_text = lambda r, names: spark.createDataFrame([(a, b, str(c)) for a, b, c in r], names)
+    order = F.col("s").cast("decimal(38,0)").alias("seq")
+    table = as_text(rows, "chain_id bigint, block_number bigint, s string").select("chain_id", "block_number", order)
+    reorgs = as_text([(c, b, s) for c, s, b in marks], "chain_id bigint, from_block bigint, s string").select("chain_id", order, "from_block")
+    # a row survives if no later marker lies at or below its block
+    want, best, at = [], {}, sorted(marks, key=lambda m: m[2])
+    for block in sorted({r[1] for r in rows}):
+        best[block] = max((m[1] for m in at if m[2] <= block), default=-1)
+    want = sorted(r for r in rows if best[r[1]] < r[2])
+    assert len(marks) > 3000 and want
+    assert sorted((r[0], r[1], int(r[2])) for r in R.invalidate(table, reorgs).collect()) == want
 
 
 def test_no_markers_keeps_everything(spark):
     table = spark.createDataFrame([(1, 5, 1)], "chain_id bigint, block_number bigint, seq bigint")
     none = spark.createDataFrame([], "chain_id bigint, seq bigint, from_block bigint")
     assert R.invalidate(table, none).count() == 1
-    assert R.invalidate(table, none, max_broadcast_rows=-1).count() == 1
 
 
-def test_invalidation_plans(spark):
+def test_invalidation_plan(spark):
     table = spark.range(1000).selectExpr("id % 3 as chain_id", "id as block_number", "id as seq")
     marks = spark.createDataFrame([(1, 500, 400)], "chain_id bigint, seq bigint, from_block bigint")
-    few = R.invalidate(table, marks)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in few and "LeftAnti" in few
-    assert "NestedLoop" not in few and "Cartesian" not in few
-    many = R.invalidate(table, marks, max_broadcast_rows=0)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in many and "Cartesian" not in many
+    text = R.invalidate(table, marks)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    # the marker came at 500 and takes blocks 400 and above
+    assert R.invalidate(table, marks).count() == 1000 - sum(i % 3 == 1 for i in range(400, 500))
 
 
 HASHES = "chain_id bigint, block_number bigint, block_hash string"

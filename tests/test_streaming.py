@@ -3,10 +3,12 @@ import json
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom import schemas as S
 from ledgerloom.operators import messages as M
 from ledgerloom.plans import changelog as V
+from ledgerloom.plans import queries
 from ledgerloom.session import scratch_path
 from ledgerloom.sources import topics
 from ledgerloom.streaming import jobs
@@ -86,6 +88,34 @@ def test_incremental_balances_survive_a_crash(spark):
     assert literal == {1: 30 + 2**256, 2: 5 + 6 + 7, 3: 1}
 
 
+def test_balances_with_arrival_order(spark):
+    source, changelog, sums = (scratch_path(spark, n) for n in ("in", "log", "sums"))
+    order = T.DecimalType(38, 0)
+    for number, batch in enumerate(BATCHES):
+        folder = f"{source}-{number}"
+        land(spark, folder, batch, number)
+        decoded = M.decode(topics.read_files(spark, folder, stream=False), M.arrival_order())
+        jobs.store_batch(decoded, number, changelog)
+        jobs.refresh_balances(spark, changelog, number, sums, EVENT)
+    stored = jobs.read_changelog(spark, changelog, order)
+    assert {int(r.address, 16): int(r.balance) for r in V.balances(stored, EVENT).collect()} == balances(spark, sums)
+
+
+def test_last_batch_of_metrics(spark):
+    source, changelog = scratch_path(spark, "in"), scratch_path(spark, "log")
+    for number, batch in enumerate(BATCHES[:2]):
+        folder = f"{source}-{number}"
+        land(spark, folder, batch, number)
+        jobs.store_batch(M.decode(topics.read_files(spark, folder, stream=False)), number, changelog)
+    stored = jobs.read_changelog(spark, changelog)
+    heads = spark.createDataFrame([], "chain_id bigint, latest_block bigint")
+    now = F.lit("2030-01-01").cast("timestamp")
+    found = {r.metric: r.value for r in queries.metrics(stored, V.state(stored), heads, now, now).collect() if r.topic is None}
+    last = stored.where("kind = 'log' and batch_id = 1").agg(F.min("block_number"), F.max("block_number"), F.count("*")).first()
+    assert (found["last_batch_from"], found["last_batch_to"], found["last_batch_count"]) == tuple(last)
+    assert found["logs_total"] == stored.where("kind = 'log'").count()
+
+
 def test_replay_from_the_start_gives_the_same_tables(spark):
     source = scratch_path(spark, "in")
     for number, batch in enumerate(BATCHES):
