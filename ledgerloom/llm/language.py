@@ -135,15 +135,16 @@ class Labeller:
         self.letters.append(letters)
         self.known.append(known)
 
-    def label(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words of each text, language of each word, letters of each word)."""
+    def label(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words of each text, language of each word, its letters, whether some language uses its script)."""
         count, distinct, number = split_words(pc.utf8_split_whitespace(texts))
         number = self.index.numbers(distinct)[number]
         letters = self.letters.data[number]
         inked = letters > 0
         text = np.repeat(np.arange(len(texts)), count)[inked]
         count = np.bincount(text, minlength=len(texts))
-        return count, viterbi(self.scores.data[number[inked]], count, self.penalty), letters[inked]
+        number = number[inked]
+        return count, viterbi(self.scores.data[number], count, self.penalty), letters[inked], self.known.data[number]
 
 
 def viterbi(scores: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
@@ -191,13 +192,13 @@ def label_spans(df: DataFrame, key: str, text: str, model: Model, switch_penalty
         labeller = Labeller(model, switch_penalty, gram_weight)
 
         def step(batch):
-            count, label, letters = labeller.label(batch.column("_text").fill_null(""))
+            count, label, letters, known = labeller.label(batch.column("_text").fill_null(""))
             rows = len(count)
             of = np.repeat(np.arange(rows), count)
-            total = np.bincount(of * len(model.languages) + label, letters, rows * len(model.languages)).reshape(rows, -1)
-            known = total.sum(1)
-            best = np.where(known > 0, total.argmax(1), len(model.languages))
-            score = np.where(known > 0, total.max(1) / np.maximum(known, 1), 0.0)
+            total = np.bincount(of * len(model.languages) + label, letters * known, rows * len(model.languages)).reshape(rows, -1)
+            ink = np.bincount(of, letters, rows)
+            best = np.where(total.any(1), total.argmax(1), np.where(ink > 0, model.prior, len(model.languages)))
+            score = total.max(1) / np.maximum(ink, 1)
             first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (label[1:] != label[:-1])]) if len(of) else np.zeros(0, np.int64)
             length = np.diff(np.r_[first, len(of)])
             begins = (np.cumsum(count) - count)[of[first]]

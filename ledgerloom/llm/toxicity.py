@@ -219,7 +219,8 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
             total = np.zeros(batch.num_rows)
             for w, b in zip(model.weights, model.bias):
                 z = np.bincount(row, w[feature], batch.num_rows) + b
-                total += 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                with np.errstate(over="ignore"):
+                    total += 1 / (1 + np.exp(-z))
             return pa.RecordBatch.from_arrays([batch.column("_key"), *(batch.column("_text" if c == text else f"_{c}") for c in carry), pa.array(total / len(model.bias))], [key, *carry, "score"])
 
         return step
