@@ -39,7 +39,7 @@ def sampled(df: DataFrame, key: str, have: int, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 24)) < int((1 << 24) * bound / have))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one hold about ``size`` bytes (a single longer text is one slice)."""
     for batch in batches:
         if not batch.num_rows:
@@ -59,6 +59,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         step = make()
         for batch in slices(batches, text):
             yield step(batch)
+        # the worker process lives on and serves other stages
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(task, schema)
 
@@ -73,10 +75,13 @@ def split_words(lists: pa.ListArray) -> tuple[np.ndarray, list, np.ndarray]:
 
 
 class WordIndex:
-    """Numbers words as they are first seen and calls ``add(new_words)`` for them. Forgets all beyond ``most``."""
+    """Numbers words as they are first seen and calls ``add(new_words)`` for them. Forgets all beyond ``most``.
 
-    def __init__(self, add: Callable[[list], None], reset: Callable[[], None], most: int = 400_000):
-        self.add, self.reset, self.most, self.known = add, reset, most, {}
+    New words go to ``add`` in parts of ``part``: their n-grams need far more memory than the words.
+    """
+
+    def __init__(self, add: Callable[[list], None], reset: Callable[[], None], most: int = 250_000, part: int = 20_000):
+        self.add, self.reset, self.most, self.part, self.known = add, reset, most, part, {}
 
     def numbers(self, words: list) -> np.ndarray:
         """``words`` are distinct."""
@@ -88,7 +93,8 @@ class WordIndex:
             new = [w for w, k in zip(words, found) if k < 0]
             start = len(self.known)
             self.known.update(zip(new, range(start, start + len(new))))
-            self.add(new)
+            for i in range(0, len(new), self.part):
+                self.add(new[i : i + self.part])
             found = [self.known[w] for w in words]
         return np.array(found, np.int64)
 

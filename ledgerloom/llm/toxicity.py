@@ -110,15 +110,16 @@ def bucket_counts(sample: DataFrame, most: int, least_z: float) -> np.ndarray:
         return p, u
 
     def count_buckets(batches):
-        p, u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-        for batch in slices(batches, "text", 1 << 20):
+        p, u = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)  # bounded by the rows of the sample
+        for batch in slices(batches, "text", 1 << 19):
             row, grams = pairs(batch)
             row, at = np.divmod(np.unique((row << BITS) + (grams >> np.uint64(64 - BITS)).astype(np.int64)), 1 << BITS)
-            more_p, more_u = counted(at, np.asarray(batch.column("positive"))[row])
-            p[: len(more_p)] += more_p
-            u[: len(more_u)] += more_u
+            at, place = np.unique(at, return_inverse=True)
+            more_p, more_u = counted(place, np.asarray(batch.column("positive"))[row])
+            p[at] += more_p.astype(np.int32)
+            u[at] += more_u.astype(np.int32)
         at = np.flatnonzero(p + u > 1)  # a bucket seen once in a task hardly adds to its shares
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(p[at]), pa.array(u[at])], ["at", "p", "u"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(p[at].astype(np.int64)), pa.array(u[at].astype(np.int64))], ["at", "p", "u"])
 
     def strongest(counted: DataFrame, bound: int) -> list:
         p, u = F.col("p") / max(n_p, 1), F.col("u") / max(n_u, 1)
