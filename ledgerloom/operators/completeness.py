@@ -34,8 +34,25 @@ def incomplete_blocks(transactions: DataFrame, receipts: DataFrame) -> DataFrame
 
 
 def complete_blocks(blocks: DataFrame, transactions: DataFrame, receipts: DataFrame) -> DataFrame:
-    return blocks.join(
-        incomplete_blocks(transactions, receipts).select(*S.BLOCK_KEY), S.BLOCK_KEY, "left_anti"
+    """Blocks whose ``tx_count`` transactions have all landed, each with its receipt.
+
+    Transactions count for the block version they came with: those of another hash at the same
+    number belong to a fork. The counts are reduced per block before they meet the blocks.
+    """
+    version = [*S.BLOCK_KEY, "block_hash"]
+    outcomes = receipts.select(*S.TX_KEY, F.lit(True).alias("_done"))
+    landed = (
+        transactions.select(*S.TX_KEY, "block_number", "block_hash")
+        .join(outcomes, S.TX_KEY, "left")
+        .groupBy(*version)
+        .agg(F.count("*").alias("_landed"), F.count("_done").alias("_with_receipt"))
+    )
+    expected = F.coalesce("tx_count", F.lit(0))
+    return (
+        blocks.join(landed, version, "left")
+        .where(F.coalesce("_landed", F.lit(0)) == expected)
+        .where(F.coalesce("_with_receipt", F.lit(0)) == expected)
+        .select(*blocks.columns)
     )
 
 

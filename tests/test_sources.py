@@ -188,10 +188,19 @@ def test_next_ranges(spark):
 
 
 def test_ranges_wait_until_whole(spark):
-    ranges = frame(spark, [(1, 1, 3), (2, 1, 2), (3, 1, 2)], "chain_id from_block to_block")
-    blocks = frame(spark, [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2)], "chain_id block_number")
-    txs = spark.createDataFrame([(1, 2, "a"), (3, 1, "b")], "chain_id bigint, block_number bigint, tx_hash string")
-    receipts = txs.where("chain_id = 1")
+    """2 lacks a block, 3 a receipt, 4 all transactions of a block, 5 one of two; 6 holds those of a fork only."""
+    ranges = frame(spark, [(c, 1, 3 if c == 1 else 2) for c in range(1, 7)], "chain_id from_block to_block")
+    counts = {(1, 1): 0, (1, 2): 1, (1, 3): 0, (2, 1): 0, (3, 1): 1, (3, 2): 0, (4, 1): 5, (4, 2): 0,
+              (5, 1): 0, (5, 2): 2, (6, 1): 1, (6, 2): 0}
+    blocks = spark.createDataFrame(
+        [(c, n, "0xh", count) for (c, n), count in counts.items()],
+        "chain_id bigint, block_number bigint, block_hash string, tx_count bigint",
+    )
+    txs = spark.createDataFrame(
+        [(1, 2, "0xh", "a"), (3, 1, "0xh", "b"), (5, 2, "0xh", "c"), (6, 1, "0xold", "d")],
+        "chain_id bigint, block_number bigint, block_hash string, tx_hash string",
+    )
+    receipts = txs.where("chain_id <> 3")
     ready = I.available(ranges, blocks, txs, receipts)
     assert [r.chain_id for r in ready.collect()] == [1]
 
