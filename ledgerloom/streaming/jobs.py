@@ -22,7 +22,7 @@ from ledgerloom.operators import balances as B
 from ledgerloom.operators import messages as M
 from ledgerloom.operators import reorg as R
 from ledgerloom.operators import writers as W
-from ledgerloom.sources.tables import BLOCK_BUCKET
+from ledgerloom.sources.tables import BLOCK_BUCKET, bucket_bounds
 
 _LONG, _TEXT = T.LongType(), T.StringType()
 _NARROW = {"uint": _LONG, "string": _TEXT, "bool": T.BooleanType(), "array": T.ArrayType(_TEXT)}
@@ -38,9 +38,14 @@ def changelog_schema(seq: T.DataType = _LONG) -> T.StructType:
 
 
 def store_batch(decoded: DataFrame, batch_id: int, path: str, width: int = BLOCK_BUCKET) -> None:
-    """Write one micro-batch of changelog rows; running it again replaces it."""
+    """Write one micro-batch of changelog rows; running it again replaces it.
+
+    Rows are brought together by folder first, so that a batch writes about as many files as
+    folders, not tasks times folders; with adaptive execution a busy folder is split again.
+    """
     (
         decoded.withColumn("block_bucket", F.expr(f"block_number div {width}"))
+        .hint("rebalance", "kind", "chain_id", "block_bucket")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("kind", "chain_id", "block_bucket")
@@ -95,22 +100,22 @@ def start_changelog(
 # --- balances kept per block bucket --------------------------------------------------------
 
 
-def touched_buckets(batch: DataFrame, changelog: DataFrame) -> DataFrame:
+def touched_buckets(batch: DataFrame, changelog: DataFrame, width: int = BLOCK_BUCKET) -> DataFrame:
     """(chain_id, block_bucket) whose logs a batch may change.
 
     Its logs touch their own bucket; a reorg marker touches every bucket that holds logs of
-    its chain from the marker's block upwards.
+    its chain from the marker's block upwards. The lowest marker of each chain, one row per
+    chain in the batch, becomes a filter on the folders.
     """
     is_log = F.col("kind") == S.LOG
     touched = batch.where(is_log).select("chain_id", "block_bucket")
-    first = R.markers(batch).agg(F.min("from_block")).first()[0]
-    if first is not None:
-        lowest = R.markers(batch).groupBy("chain_id").agg(F.min("from_block").alias("_from"))
-        rewound = (
-            changelog.where(is_log & (F.col("block_number") >= first))  # skips row groups below
-            .join(lowest, "chain_id")
-            .where(F.col("block_number") >= F.col("_from"))
-        )
+    lowest = R.markers(batch).groupBy("chain_id").agg(F.min("from_block")).collect()
+    if lowest:
+        above = F.lit(False)
+        for chain_id, block in lowest:
+            folders = (F.col("chain_id") == chain_id) & bucket_bounds(block, None, width)[0]
+            above = above | (folders & (F.col("block_number") >= block))
+        rewound = changelog.where(is_log & above)
         touched = touched.unionByName(rewound.select("chain_id", "block_bucket"))
     return touched.distinct()
 
@@ -121,15 +126,17 @@ def refresh_balances(
     batch_id: int,
     path: str,
     event_id: str,
+    width: int = BLOCK_BUCKET,
 ) -> None:
     """Recompute the limb sums of the buckets a batch touched, from the changelog.
 
     Sums are replaced per (chain, bucket), never added to, so duplicates, reorgs and
     repeated batches all come out right. An empty row marks a bucket whose logs all went.
+    ``width`` is the one the changelog was stored with.
     """
     changelog = read_changelog(spark, changelog_path, stored_seq(spark, changelog_path, batch_id))
     batch = changelog.where(F.col("batch_id") == batch_id)
-    touched = touched_buckets(batch, changelog)
+    touched = touched_buckets(batch, changelog, width)
     lowest = touched.agg(F.min("block_bucket")).first()[0]
     if lowest is None:
         return

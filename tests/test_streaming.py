@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -50,6 +51,35 @@ def land(spark, path, batch, number):
     ).coalesce(1).write.mode("append").parquet(path)
 
 
+def test_a_batch_writes_files_by_folder_not_by_task(spark, tmp_path):
+    for number, batch in enumerate(BATCHES[:2]):
+        for _ in range(3):  # several input files, so several tasks
+            land(spark, str(tmp_path / "in"), batch, number)
+    stored = str(tmp_path / "changelog")
+    decoded = M.decode(topics.read_files(spark, str(tmp_path / "in"), stream=False).repartition(8))
+    jobs.store_batch(decoded, 0, stored, width=10)
+    files = list((tmp_path / "changelog").rglob("*.parquet"))
+    assert len(files) == len({f.parent for f in files}) == 3  # one of blocks, two of logs
+    assert jobs.read_changelog(spark, stored).count() == decoded.count()
+
+
+def test_a_marker_reads_folders_of_its_chain_from_its_block_on(spark, tmp_path):
+    batches = [
+        [log(c, b, 0, 1, 1) for c in (1, 2) for b in (5, 15, 25, 35)],
+        [{"type": "reorg", "chain_id": 1, "from_block": 27}, {"type": "reorg", "chain_id": 2, "from_block": 12}],
+    ]
+    stored = str(tmp_path / "changelog")
+    for number, batch in enumerate(batches):
+        source = str(tmp_path / f"in{number}")
+        land(spark, source, batch, number)
+        jobs.store_batch(M.decode(topics.read_files(spark, source, stream=False)), number, stored, width=10)
+    changelog = jobs.read_changelog(spark, stored)
+    touched = jobs.touched_buckets(changelog.where("batch_id = 1"), changelog, width=10)
+    assert {tuple(r) for r in touched.collect()} == {(1, 3), (2, 1), (2, 2), (2, 3)}
+    text = touched._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*block_bucket#\d+L >= 2[^\]]*block_bucket#\d+L >= 1", text), text
+
+
 def run(spark, source, changelog, offsets, after=None):
     stream = topics.read_files(spark, source, [1], prefix="t", max_files_per_trigger=1)
     query = jobs.start_changelog(stream, changelog, offsets, after_batch=after, width=10)
@@ -65,7 +95,7 @@ def test_incremental_balances_survive_a_crash(spark):
     crash = {"left": 1}
 
     def refresh(session, batch_id):
-        jobs.refresh_balances(session, changelog, batch_id, sums, EVENT)
+        jobs.refresh_balances(session, changelog, batch_id, sums, EVENT, width=10)
         if batch_id == 2 and crash["left"]:
             crash["left"] -= 1
             raise RuntimeError("lost after the batch was stored, before its offsets were")
@@ -124,7 +154,7 @@ def test_replay_from_the_start_gives_the_same_tables(spark):
     for name in ("one", "two"):
         changelog, sums = scratch_path(spark, name), scratch_path(spark, "sums")
         run(spark, source, changelog, scratch_path(spark, "offsets"),
-            lambda s, b: jobs.refresh_balances(s, changelog, b, sums, EVENT))
+            lambda s, b: jobs.refresh_balances(s, changelog, b, sums, EVENT, width=10))
         seen.append((balances(spark, sums), sorted(map(str, V.logs(jobs.read_changelog(spark, changelog)).collect()))))
     assert seen[0] == seen[1] and seen[0][0] == BALANCES
 
