@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixtures as X
 from ledgerloom import schemas as S
-from ledgerloom.fixtures import CHAINS, EVENT_A, EVENT_N, Fixtures
+from ledgerloom.fixtures import BUCKET_WIDTH, CHAINS, EVENT_A, EVENT_N, Fixtures
 from ledgerloom.functions.fields import event_matches
 from ledgerloom.operators import aggregates as A
 from ledgerloom.operators import balances as B
@@ -97,6 +97,16 @@ def src_rpc_logs(fx):
     return _text_topics(rpc.valid(rpc.logs(rpc.read_landed(fx.spark, fx.land_logs()))))
 
 
+@query
+def src_rpc_light_blocks(fx):
+    return rpc.valid(rpc.light_blocks(rpc.read_landed(fx.spark, fx.land_light_blocks())))
+
+
+@query
+def src_rpc_heads(fx):
+    return rpc.heads(rpc.read_landed(fx.spark, fx.land_heads()))
+
+
 @query
 def src_rpc_envelope(fx):
     landed = rpc.read_landed(fx.spark, fx.land_blocks())
@@ -241,14 +251,16 @@ def prj_to_receipt(fx):
 
 @query
 def flt_logs(fx):
-    wanted = Q.LogFilter(chain_id=2, address=SUPPLIER.upper().replace("X", "x"), from_block=300, to_block=1800)
-    return _text_topics(wanted.apply(fx.logs))
+    wanted = Q.LogFilter(
+        chain_id=2, address=SUPPLIER.upper().replace("X", "x"), from_block=300, to_block=1800, bucket_width=BUCKET_WIDTH
+    )
+    return _text_topics(wanted.apply(fx.logs_by_bucket).select(*S.LOGS.fieldNames()))
 
 
 @query
 def flt_transactions(fx):
-    wanted = Q.TransactionFilter(address=RECIPIENT, from_block=100, to_block=2000)
-    return wanted.apply(fx.transactions)
+    wanted = Q.TransactionFilter(address=RECIPIENT, from_block=100, to_block=2000, bucket_width=BUCKET_WIDTH)
+    return wanted.apply(fx.transactions_by_bucket).select(*S.TRANSACTIONS.fieldNames())
 
 
 @query
@@ -258,7 +270,8 @@ def flt_balances(fx):
 
 @query
 def flt_logs_after(fx):
-    return _text_topics(Q.logs_after(fx.logs, 2, 1000, 500))
+    page = Q.logs_after(fx.logs_by_bucket, 2, 1000, 500, bucket_width=BUCKET_WIDTH)
+    return _text_topics(page.select(*S.LOGS.fieldNames()))
 
 
 @query
@@ -516,6 +529,13 @@ def st_reorg_detect(fx):
     return R.detect(fx.blocks, fx.canonical, _tips(fx))
 
 
+@query
+def st_reorg_detect_node(fx):
+    node = rpc.valid(rpc.light_blocks(rpc.read_landed(fx.spark, fx.land_light_blocks())))
+    ahead = _tips(fx).selectExpr("chain_id + 3 as chain_id", "last_processed_block")  # a chain without stored blocks
+    return R.detect(fx.blocks, node, _tips(fx).unionByName(ahead.where("chain_id = 4")))
+
+
 @query
 def st_watermark(fx):
     return V.state(fx.changelog)
@@ -548,7 +568,8 @@ def st_replay(fx):
 
 @query
 def q_logs(fx):
-    return _text_topics(P.logs(fx.logs, Q.LogFilter(chain_id=1, from_block=100, limit=500)))
+    wanted = Q.LogFilter(chain_id=1, from_block=100, limit=500, bucket_width=BUCKET_WIDTH)
+    return _text_topics(P.logs(fx.logs_by_bucket, wanted))
 
 
 @query

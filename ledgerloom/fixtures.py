@@ -27,6 +27,9 @@ from ledgerloom.streaming import jobs
 
 _LANDED: dict[tuple[str, str, str], str] = {}
 
+#: blocks in a bucket of the landed chain tables, so that their few thousand blocks fill several
+BUCKET_WIDTH = 500
+
 EVENT_A = "0x" + "aa" * 32
 EVENT_N = "0x" + "bb" * 32
 CHAINS = [1, 2, 3]
@@ -265,8 +268,11 @@ class Fixtures:
         return _LANDED[key]
 
     def _chain_table(self, name: str, view: DataFrame, schema: T.StructType, position: str) -> DataFrame:
-        path = self._landed(name, lambda p: tables.append(view, p, position))
-        return tables.scan(self.spark, path, schema)
+        return self._by_bucket(name, view, schema, position).select(*schema.fieldNames())
+
+    def _by_bucket(self, name: str, view: DataFrame, schema: T.StructType, position: str) -> DataFrame:
+        path = self._landed(name, lambda p: tables.append(view, p, position, BUCKET_WIDTH))
+        return tables.stored(self.spark, path, schema)
 
     def _plain_table(self, name: str, view: DataFrame) -> DataFrame:
         return self.spark.read.parquet(self._landed(name, lambda p: view.write.parquet(p)))
@@ -275,6 +281,14 @@ class Fixtures:
     def logs(self) -> DataFrame:
         return self._chain_table("logs", self._logs(), S.LOGS, "log_index")
 
+    @cached_property
+    def logs_by_bucket(self) -> DataFrame:
+        return self._by_bucket("logs", self._logs(), S.LOGS, "log_index")
+
+    @cached_property
+    def transactions_by_bucket(self) -> DataFrame:
+        return self._by_bucket("transactions", self._transactions(), S.TRANSACTIONS, "tx_index")
+
     @cached_property
     def blocks(self) -> DataFrame:
         return self._chain_table("blocks", self._blocks(), S.BLOCKS, "block_hash")
@@ -363,6 +377,28 @@ class Fixtures:
         )
         return self._land("node-blocks", joined.selectExpr("chain_id", f"{value} as value"))
 
+    def land_light_blocks(self) -> str:
+        """Hash-only responses for every block: chain 1 agrees, chain 2 differs from a block on, chain 3 lacks its tip."""
+        result = (
+            "struct(case when chain_id = 2 and block_number >= 2300 then concat('0x', sha2(block_hash, 256)) "
+            f"else upper(block_hash) end as hash, parent_hash as parentHash, {_hex('block_number')} as number, "
+            "array(block_hash) as transactions)"
+        )
+        value = (
+            "case when chain_id = 3 and block_number >= 2300 then '{\"jsonrpc\":\"2.0\",\"id\":1,\"result\":null}' "
+            f"else to_json(struct('2.0' as jsonrpc, 1 as id, {result} as result)) end"
+        )
+        return self._land("node-light-blocks", self.blocks.selectExpr("chain_id", f"{value} as value"))
+
+    def land_heads(self) -> str:
+        """One answer per stored block, as a poller would land them; every tenth failed."""
+        value = (
+            "case when block_number % 10 = 3 then "
+            "'{\"jsonrpc\":\"2.0\",\"id\":1,\"error\":{\"code\":-32000,\"message\":\"busy\"}}' "
+            f"else to_json(struct('2.0' as jsonrpc, 1 as id, {_hex('block_number + 2')} as result)) end"
+        )
+        return self._land("node-heads", self.blocks.selectExpr("chain_id", f"{value} as value"))
+
     def land_receipts(self) -> str:
         """One receipt response per order; pending orders leave numbers out."""
         result = (

@@ -1,7 +1,8 @@
 """Optional filters, limits and keyset pages over the tables.
 
 Stored hashes and addresses are lower case, so a filter lowers its literal and compares
-the bare column: the predicate reaches the Parquet scan.
+the bare column: the predicate reaches the Parquet scan. On a table read with its
+``block_bucket`` column, ``bucket_width`` turns block bounds into bounds on directories.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
 from ledgerloom.functions.hexnum import is_fixed_hex
+from ledgerloom.sources.tables import bucket_bounds
 
 LOG_ORDER = ["block_number", "log_index", "chain_id", "tx_hash", "block_hash"]
 TRANSACTION_ORDER = ["block_number", "tx_index", "chain_id", "tx_hash"]
@@ -39,6 +41,7 @@ class LogFilter:
     from_block: int | None = None
     to_block: int | None = None
     limit: int = S.DEFAULT_LIMIT
+    bucket_width: int | None = None
 
     def __post_init__(self) -> None:
         for name in ("chain_id", "from_block", "to_block", "limit"):
@@ -59,6 +62,8 @@ class LogFilter:
             found.append(F.col("block_number") >= self.from_block)
         if self.to_block is not None:
             found.append(F.col("block_number") <= self.to_block)
+        if self.bucket_width:
+            found += bucket_bounds(self.from_block, self.to_block, self.bucket_width)
         return found
 
     def apply(self, table: DataFrame) -> DataFrame:
@@ -111,7 +116,9 @@ def top_balances(balances: DataFrame, limit: int = S.DEFAULT_LIMIT) -> DataFrame
     return top(balances, BALANCE_ORDER, limit)
 
 
-def logs_after(logs: DataFrame, chain_id: int, block: int, log_index: int, limit: int = 0) -> DataFrame:
+def logs_after(
+    logs: DataFrame, chain_id: int, block: int, log_index: int, limit: int = 0, bucket_width: int | None = None
+) -> DataFrame:
     """Keyset page: the logs of a chain after (block, log_index), in order.
 
     ``block_number >= block`` is implied; stated on its own it reaches the scan.
@@ -120,6 +127,9 @@ def logs_after(logs: DataFrame, chain_id: int, block: int, log_index: int, limit
         (F.col("block_number") == block) & (F.col("log_index") > log_index)
     )
     page = logs.where(F.col("chain_id") == chain_id).where(F.col("block_number") >= block).where(later)
+    if bucket_width:
+        for bound in bucket_bounds(block, None, bucket_width):
+            page = page.where(bound)
     return page.orderBy(*LOG_ORDER).limit(effective_limit(limit, S.DEFAULT_PAGE, S.MAX_PAGE))
 
 

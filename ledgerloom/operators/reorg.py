@@ -108,17 +108,20 @@ def detect(stored: DataFrame, canonical: DataFrame, state: DataFrame) -> DataFra
     """Decision per chain: ``status`` unchecked | unavailable | ok | reorg.
 
     On a reorg ``from_block`` is the first orphaned block and ``last_processed_block`` the
-    new watermark; no common block means from 0 and no watermark.
+    new watermark; no common block means from 0 and no watermark. A chain with a watermark and
+    no stored block up to it is unchecked.
     """
     missing_above = F.col("highest_missing") > F.coalesce(F.col("fork_block"), F.lit(-1))
     status = (
-        F.when(~F.col("stored_tip"), "unchecked")
+        F.when(~F.coalesce("stored_tip", F.lit(False)), "unchecked")
         .when(~F.col("node_tip"), "unavailable")
         .when(F.col("tip_same"), "ok")
         .when(missing_above, "unavailable")
         .otherwise("reorg")
     )
-    forks = fork_points(compare_hashes(stored, canonical), state).withColumn("status", status)
+    tips = state.select("chain_id", F.col("last_processed_block").alias("tip"))
+    known = fork_points(compare_hashes(stored, canonical), state)
+    forks = tips.join(known, ["chain_id", "tip"], "left").withColumn("status", status)
     is_reorg = F.col("status") == "reorg"
     return forks.select(
         "chain_id",

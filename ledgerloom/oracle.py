@@ -246,6 +246,12 @@ _add("src_rpc_logs", f"""
 select chain_id, block_number, block_hash, tx_hash, (l_orderkey // 3) * 1024 + seq - 1 as log_index,
   {_word('l_suppkey', 40)} as address, '0x' || {_CENTS_HEX} as data,
   {_TOPIC0} || ',' || {_upper_word('l_partkey')} as topics, l_linestatus = 'F' as removed from ln""")
+_add("src_rpc_light_blocks", """
+select chain_id, block_number, parent_hash, case when chain_id = 2 and block_number >= 2300
+  then '0x' || sha256(block_hash) else block_hash end as block_hash
+from bl where chain_id <> 3 or block_number < 2300""")
+_add("src_rpc_heads", """
+select chain_id, max(block_number) + 2 as latest_block from bl where block_number % 10 <> 3 group by chain_id""")
 _add("src_rpc_envelope", f"""
 select chain_id,
   case when o_orderstatus = 'F' and o_orderpriority = '1-URGENT' then 'failed'
@@ -432,6 +438,13 @@ _add("st_reorg_detect", """
 select chain_id, max(block_number) as tip, 'reorg' as status,
   max(case when same then block_number end) + 1 as from_block,
   max(case when same then block_number end) as last_processed_block from cmp group by chain_id""")
+_add("st_reorg_detect_node", """
+select chain_id, max(block_number) as tip,
+  case chain_id when 1 then 'ok' when 2 then 'reorg' else 'unavailable' end as status,
+  case when chain_id = 2 then max(block_number) filter (where block_number < 2300) + 1 end as from_block,
+  case when chain_id = 2 then max(block_number) filter (where block_number < 2300)
+    else max(block_number) end as last_processed_block from bl group by chain_id
+union all select 4, max(block_number), 'unchecked', null, max(block_number) from bl where chain_id = 1""")
 _add("st_watermark", "select * from wm")
 _add("st_balance_incremental", f"""
 select chain_id, {_word('user_id', 40)} as address, cast(sum(cents) as varchar) as balance

@@ -168,6 +168,7 @@ RPC_BLOCK = _struct(
     ],
     ("transactions", T.ArrayType(RPC_TRANSACTION)),
 )
+RPC_LIGHT_BLOCK = _struct(*[(name, _STRING) for name in ("hash", "parentHash", "number")])
 RPC_RECEIPT = _struct(
     *[
         (name, _STRING)

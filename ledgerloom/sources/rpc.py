@@ -122,6 +122,27 @@ def blocks(landed: DataFrame) -> DataFrame:
     )
 
 
+def light_blocks(landed: DataFrame) -> DataFrame:
+    """Number and hashes of block responses that list their transactions as hashes only.
+
+    Blocks the node does not have give no row; ``reorg.detect`` then knows them as missing.
+    """
+    return _rows(
+        _ready(landed, S.RPC_LIGHT_BLOCK, "hash"),
+        [
+            _uint("result.number", "block_number"),
+            _lower("result.hash", "block_hash"),
+            _lower("result.parentHash", "parent_hash"),
+        ],
+    )
+
+
+def heads(landed: DataFrame) -> DataFrame:
+    """(chain_id, latest_block): the highest head among the answers of each chain's node."""
+    answers = _rows(_ready(landed, T.StringType(), None), [_uint("result", "latest_block")])
+    return valid(answers).groupBy("chain_id").agg(F.max("latest_block").alias("latest_block"))
+
+
 def transactions(landed: DataFrame) -> DataFrame:
     """Transaction rows; number and hash of the block come from the enclosing block."""
     exploded = _ready(landed, S.RPC_BLOCK, "hash").select(

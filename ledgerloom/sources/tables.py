@@ -8,7 +8,7 @@ range, which prunes directories.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,21 @@ def append(
     )
 
 
+def bucket_bounds(from_block: int | None, to_block: int | None, width: int = BLOCK_BUCKET) -> list[Column]:
+    """Bounds on the bucket that a block range implies; as partition filters they prune directories."""
+    found = []
+    if from_block is not None:
+        found.append(F.col("block_bucket") >= from_block // width)
+    if to_block is not None:
+        found.append(F.col("block_bucket") <= to_block // width)
+    return found
+
+
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table with its ``block_bucket`` column, for filters that know the width of the buckets."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("block_bucket", T.LongType())])).parquet(path)
+
+
 def scan(
     spark: SparkSession,
     path: str,
@@ -56,12 +71,13 @@ def scan(
     width: int = BLOCK_BUCKET,
 ) -> DataFrame:
     """Columns of a table, pruned to a chain and a block range where given."""
-    stored = T.StructType([*schema.fields, T.StructField("block_bucket", T.LongType())])
-    df = spark.read.schema(stored).parquet(path)
+    df = stored(spark, path, schema)
+    for bound in bucket_bounds(from_block, to_block, width):
+        df = df.where(bound)
     if chain_id is not None:
         df = df.where(F.col("chain_id") == chain_id)
     if from_block is not None:
-        df = df.where((F.col("block_bucket") >= from_block // width) & (F.col("block_number") >= from_block))
+        df = df.where(F.col("block_number") >= from_block)
     if to_block is not None:
-        df = df.where((F.col("block_bucket") <= to_block // width) & (F.col("block_number") <= to_block))
+        df = df.where(F.col("block_number") <= to_block)
     return df.select(*schema.fieldNames())

@@ -47,5 +47,11 @@ def test_transaction_address_filter_is_pushed(spark):
     assert "Or(EqualTo(from_addr" in plan(spark, "flt_transactions")
 
 
+@pytest.mark.parametrize("key", ["flt_logs", "flt_logs_after", "q_logs", "flt_transactions"])
+def test_block_bounds_prune_folders(spark, key):
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan(spark, key))
+    assert any(re.search(r"block_bucket#\d+L [><]= \d", f) for f in filters), filters
+
+
 def test_block_range_reads_one_column(spark):
     assert "ReadSchema: struct<block_number:bigint>" in plan(spark, "agg_block_range")

@@ -99,6 +99,8 @@ HASHES = "chain_id bigint, block_number bigint, block_hash string"
         ({1: "0xa", 2: "0xb", 3: "0xc"}, {1: "0xa", 3: "0xd"}, 3, ("unavailable", None, 3)),
         # the node lacks a block below the fork only
         ({1: "0xa", 2: "0xb", 3: "0xc"}, {2: "0xb", 3: "0xd"}, 3, ("reorg", 3, 2)),
+        # nothing stored up to the watermark: no check
+        ({3: "0xa"}, {2: "0xz"}, 2, None),
         # no stored tip: no check
         ({1: "0xa"}, {1: "0xz"}, 2, None),
         # blocks above the watermark are ignored

@@ -51,6 +51,34 @@ def test_blocks_and_transactions(spark):
     assert second.value == str(2**256 - 1)
 
 
+def test_light_blocks_list_hashes_only(spark):
+    light = {**BLOCK, "transactions": ["0xT1", "0xT2"]}
+    df = landed(spark, {"result": light}, {"result": None}, {"result": {**light, "number": "0x"}}, "not json")
+    rows = rpc.valid(rpc.light_blocks(df)).collect()
+    assert [tuple(r) for r in rows] == [(5, 16, "0xab", "0xcd")]
+
+
+def test_heads_take_the_highest_answer(spark):
+    df = landed(spark, {"result": "0x10"}, {"result": "0x1f"}, {"result": ""}, {"result": None}, {},
+                {"error": {"code": -32000, "message": "busy"}})
+    assert [tuple(r) for r in rpc.heads(df).collect()] == [(5, 31)]
+    assert rpc.heads(landed(spark, {})).count() == 0
+
+
+@pytest.mark.parametrize("bounds", [{}, {"from_block": 10}, {"from_block": 9, "to_block": 20}, {"to_block": 9}])
+def test_bucket_bounds_keep_the_rows_of_a_filter(spark, tmp_path, bounds):
+    logs = spark.range(31).selectExpr(
+        "1L as chain_id", "id as block_number", "'0xb' as block_hash", "'0xt' as tx_hash", "id as log_index",
+        "'0xc' as address", "'0x' as data", "array('0xe') as topics", "false as removed")
+    path = str(tmp_path / "logs")
+    tables.append(logs, path, "log_index", width=10)
+    stored = tables.stored(spark, path, S.LOGS)
+    numbers = {r.block_number for r in Q.LogFilter(bucket_width=10, **bounds).apply(stored).collect()}
+    assert numbers == set(range(bounds.get("from_block", 0), bounds.get("to_block", 30) + 1))
+    page = Q.logs_after(stored, 1, 20, 20, bucket_width=10).collect()
+    assert [r.block_number for r in page] == list(range(21, 31))
+
+
 def test_bad_numbers_are_set_aside(spark):
     df = landed(spark, {"result": {**BLOCK, "gasUsed": ""}}, {"result": {**BLOCK, "timestamp": "0x8000000000000000"}},
                 {"result": BLOCK})
