@@ -2,14 +2,16 @@
 
 Vectors are projected on their main axes (fitted on a bounded sample), turned and shifted differently for each curve, put
 on a grid and numbered along a Hilbert curve. Rows are dealt by ranges of (curve, key); a query looks at the rows next to
-its key, in its own range and the two beside it, on every curve. Windows hold one byte for each component; what looks nearest
-in them is merged over the curves and ranked by exact Euclidean distance on the original vectors.
+its key on every curve. Windows hold one byte for each component; what looks nearest in them is merged over the curves and
+ranked by exact Euclidean distance on the original vectors.
 
 A window holds ``window_share`` of the rows on either side, ``window`` at least: in data without clusters the number of
-rows nearer than a true neighbour on a curve grows with the rows, and a fixed window would lose recall.
+rows nearer than a true neighbour on a curve grows with the rows, and a fixed window would lose recall. A window is an
+interval of keys, by the keys of the sample. A range holds about ``range_rows`` rows however large the window is; a query
+goes to every range that its window meets, and the lists of all ranges are merged in Spark.
 
 Copies: of equal vectors the rows with the smallest ids are enough, so at most neighbours + 1 of them are searched; equal
-query vectors are searched once. Rows of one grid cell are ordered by a hash, so that a crowded cell is split over ranges.
+query vectors are searched once. Rows of one grid cell are ordered by a hash, another one on each curve.
 """
 
 from __future__ import annotations
@@ -32,17 +34,26 @@ class Curves:
     low: list[np.ndarray]
     scale: list[np.ndarray]
     bits: int
+    marks: list[np.ndarray]  # sorted keys of the sample on each curve
     splits: list[np.ndarray]  # key ranges of each curve
     step: np.ndarray  # of one-byte components
+    parts: int = 1  # a range is dealt in so many parts
+    reach: int = 1  # keys of the sample on either side of a window
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         return np.round(vectors / self.step).clip(-127, 127).astype(np.int8)
 
     def keys(self, vectors: np.ndarray, curve: int) -> np.ndarray:
         cells = ((vectors @ self.turn[curve] - self.low[curve]) * self.scale[curve]).clip(0, (1 << self.bits) - 1).astype(np.uint64)
-        tie = mixed(np.ascontiguousarray(vectors).view(np.uint64).sum(1, dtype=np.uint64)) >> np.uint64(64 - TIE_BITS)
+        tie = mixed(mixed(np.ascontiguousarray(vectors).view(np.uint64).sum(1, dtype=np.uint64)) + np.uint64(curve)) >> np.uint64(64 - TIE_BITS)
         return ((hilbert(cells, self.bits) << np.uint64(TIE_BITS)) | tie).astype(np.int64)
 
+    def window(self, keys: np.ndarray, curve: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last key of the window around each key."""
+        marks = np.r_[np.full(self.reach, np.iinfo(np.int64).min), self.marks[curve], np.full(self.reach, np.iinfo(np.int64).max)]
+        low, high = np.searchsorted(self.marks[curve], keys), np.searchsorted(self.marks[curve], keys, side="right")
+        return marks[low], marks[high + 2 * self.reach - 1]
+
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     """Number of each cell along the Hilbert curve; cells are rows of ``bits``-bit coordinates (Skilling 2004)."""
@@ -78,7 +89,7 @@ def fit_curves(sample: np.ndarray, curves: int, axes: int, bits: int, ranges: in
     centred = sample - sample.mean(0)
     _, _, main = np.linalg.svd(centred[: 4 * max(centred.shape[1], 500)], full_matrices=False)
     axes = min(axes, len(main))
-    out = Curves([], [], [], bits, [], np.maximum(np.abs(sample).max(0), 1e-12) * 1.02 / 127)
+    out = Curves([], [], [], bits, [], [], np.maximum(np.abs(sample).max(0), 1e-12) * (1.02 + 30 / len(sample)) / 127)
     keep = main[: min(len(main), 4 * axes)]
     for c in range(curves):
         turned, _ = np.linalg.qr(random.normal(size=(len(keep), len(keep))))
@@ -89,13 +100,22 @@ def fit_curves(sample: np.ndarray, curves: int, axes: int, bits: int, ranges: in
         width = np.maximum(high - low, 1e-12) * 1.25
         out.low.append(low - random.uniform(0, 0.2, axes) * width)
         out.scale.append((1 << bits) / width)
-        out.splits.append(np.unique(np.quantile(out.keys(sample, c), np.arange(1, ranges) / ranges, method="nearest")) if ranges > 1 else np.zeros(0, np.int64))
+        out.marks.append(np.sort(out.keys(sample, c)))
+        out.splits.append(np.unique(out.marks[c][np.arange(1, ranges) * len(sample) // ranges]))
+    return out
+
+
+def segment_of(vectors: np.ndarray, groups: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """Number of the last group that holds each vector, from 1; 0 for vectors in none."""
+    out = np.zeros(len(vectors), np.int64)
+    for i, (centre, radius) in enumerate(groups, 1):
+        out[((vectors - centre) ** 2).sum(1) <= radius**2] = i
     return out
 
 
 def nearest(
-    df: DataFrame, query: Column, key: str = "vec_id", vector: str = "embedding", neighbours: int = 10, curves: int = 32, window: int = 256,
-    window_share: float = 0.01, axes: int = 8, bits: int = 6, range_rows: int = 8192, max_sample: int = 20_000,
+    df: DataFrame, query: Column, key: str = "vec_id", vector: str = "embedding", neighbours: int = 10, curves: int = 32, window: int = 512,
+    window_share: float = 0.02, axes: int = 8, bits: int = 6, range_rows: int = 8192, max_sample: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the nearest rows to every row where ``query`` holds, itself left out.
 
@@ -124,74 +144,126 @@ def nearest(
     sample = sampled(rows.select("id", "v"), "id", total, max_sample).limit(2 * max_sample).select("v").toPandas()
     if not len(sample):
         sample = rows.select("v").limit(max_sample).toPandas()
-    points = np.stack(sample["v"].to_numpy())
-    window = max(window, int(window_share * total))
-    ranges = max(1, min(-(-total // max(range_rows, 8 * window)), len(points) // 8))
-    fitted = fit_curves(points, curves, axes, bits, ranges)
-
-    def task(asks: bool):
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
+    points = np.unique(np.stack(sample["v"].to_numpy()), axis=0)
+    points = points[np.random.default_rng(11).permutation(len(points))]
+    groups = []
+    centres = [np.zeros(width), *(centre for centre, _ in groups)]
+    of, each, fitted = segment_of(points, groups), total / len(points), []
+    for i, centre in enumerate(centres):
+        own = points[of == i] if (of == i).any() else points
+        have = (of == i).sum() * each
+        ranges = max(1, -(-int(have) // range_rows))
+        cut = max(1, min(ranges, len(own) // 8))
+        fitted.append(fit_curves(own - centre, curves, axes, bits, cut, seed=5 + i))
+        fitted[-1].parts = -(-ranges // cut)
+        fitted[-1].reach = max(16, int(max(window, window_share * have) / each) + 1)
+    probes = points[:4000] if groups else points[:0]
+    wide = np.dtype("<f4" if dict(df.dtypes)[vector] == "array<float>" else "<f8")
+
+    def farthest(v: np.ndarray) -> np.ndarray:
+        """No neighbour of a query is farther than this: the distance to some row of the sample."""
+        if len(probes) <= neighbours:
+            return np.full(len(v), np.inf)
+        out = []
+        for i in range(0, len(v), 256):
+            d = (v[i : i + 256] ** 2).sum(1)[:, None] + (probes**2).sum(1) - 2 * v[i : i + 256] @ probes.T
+            out.append(np.sqrt(np.maximum(np.partition(d, neighbours, axis=1)[:, neighbours], 0)))
+        return np.concatenate(out) * (1 + 1e-6) + 1e-6 * np.sqrt((v**2).sum(1))
+
+    names = ["segment", "curve", "block", "part", "asks", "k", "last", "id", "code"]
+
+    def dealt_rows(segment, c, block, part, asks, k, last, ids, data):
+        n = len(k)
+        code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(data.shape[1] * data.itemsize), n, [None, pa.py_buffer(np.ascontiguousarray(data).tobytes())]).cast(pa.binary())
+        columns = [np.full(n, segment, np.int32), np.full(n, c, np.int32), block.astype(np.int64), part.astype(np.int32), np.full(n, asks), k, last, ids]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), code], names)
+
+    def deal(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, ids = np.asarray(batch.column("v").flatten()).reshape(-1, width), np.asarray(batch.column("id"))
+            segment = segment_of(v, groups)
+            for i in np.unique(segment).tolist():
+                f, at, own = fitted[i], v[segment == i] - centres[i], ids[segment == i]
+                codes, part = f.codes(at), (mixed(own.astype(np.uint64)) % np.uint64(f.parts)).astype(np.int32)
+                for c in range(curves):
+                    k = f.keys(at, c)
+                    yield dealt_rows(i, c, np.searchsorted(f.splits[c], k, side="right"), part, False, k, k, own, codes)
+
+    def ask(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, ids = np.asarray(batch.column("v").flatten()).reshape(-1, width), np.asarray(batch.column("id"))
+            limit = farthest(v)
+            for i, f in enumerate(fitted):
+                near = np.sqrt(((v - centres[i]) ** 2).sum(1)) <= limit + groups[i - 1][1] if i else np.ones(len(v), bool)
+                if not near.any():
                     continue
-                v = np.asarray(batch.column("v").flatten()).reshape(-1, width)
-                codes = fitted.codes(v)
+                at, own, data = v[near] - centres[i], ids[near], v[near].astype(wide)
                 for c in range(curves):
-                    k = fitted.keys(v, c)
-                    block = np.searchsorted(fitted.splits[c], k, side="right")
-                    for shift in (-1, 0, 1) if asks else (0,):
-                        ok = (block + shift >= 0) & (block + shift <= len(fitted.splits[c]))
-                        n = int(ok.sum())
-                        code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(codes[ok].tobytes())]).cast(pa.binary())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, c, np.int32)), pa.array((block + shift)[ok].astype(np.int64)), pa.array(np.full(n, asks)), pa.array(k[ok]), batch.column("id").filter(pa.array(ok)), code],
-                            ["curve", "block", "asks", "k", "id", "code"],
-                        )
-
-        return run
-
-    schema = "curve int, block bigint, asks boolean, k bigint, id bigint, code binary"
-    dealt = few.mapInArrow(task(False), schema).union(classes.select("id", "v").mapInArrow(task(True), schema))
-    dealt = dealt.repartition("curve", "block").sortWithinPartitions("curve", "block", "asks", "k")
+                    first, last = f.window(f.keys(at, c), c)
+                    block, end = (np.searchsorted(f.splits[c], x, side="right") for x in (first, last))
+                    while len(on := np.flatnonzero(block <= end)):
+                        for part in range(f.parts):
+                            for some in np.array_split(on, -(-len(on) // 2000)):
+                                yield dealt_rows(i, c, block[some], np.full(len(some), part), True, first[some], last[some], own[some], data[some])
+                        block = block + 1
+
+    schema = "segment int, curve int, block bigint, part int, asks boolean, k bigint, last bigint, id bigint, code binary"
+    dealt = few.mapInArrow(deal, schema).union(classes.select("id", "v").mapInArrow(ask, schema))
+    dealt = dealt.repartition("segment", "curve", "block", "part").sortWithinPartitions("segment", "curve", "block", "part", "asks", "k")
     listed = 4 * (neighbours + 1)
 
     def search(batches):
-        current, parts = None, []
+        current, parts, own = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = np.asarray(batch.column("curve"), dtype=np.int64) * (1 << 40) + np.asarray(batch.column("block"))
-            k, ids = (np.asarray(batch.column(x)) for x in ("k", "id"))
+            place = np.stack([np.asarray(batch.column(x), dtype=np.int64) for x in ("segment", "curve", "block", "part")], 1)
+            k, last, ids = (np.asarray(batch.column(x)) for x in ("k", "last", "id"))
             asks = np.array(batch.column("asks").to_pylist())
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(-1, width)
-            cuts = np.r_[0, np.flatnonzero((group[1:] != group[:-1]) | (asks[1:] != asks[:-1])) + 1, len(group)].tolist()
+            cuts = np.r_[0, np.flatnonzero((place[1:] != place[:-1]).any(1) | (asks[1:] != asks[:-1])) + 1, len(k)].tolist()
             for a, b in zip(cuts, cuts[1:]):
-                if group[a] != current:
-                    current, parts, own = group[a], [], None
+                if (here := tuple(place[a].tolist())) != current:
+                    current, parts, own = here, [], None
+                data = b"".join(batch.column("code").slice(a, b - a).to_pylist())
+                segment = here[0]
                 if not asks[a]:
-                    parts.append((k[a:b], ids[a:b], codes[a:b]))
+                    parts.append((k[a:b], ids[a:b], np.frombuffer(data, np.int8).reshape(-1, width)))
                 elif parts:
                     if own is None:
                         own = [np.concatenate(x) for x in zip(*parts)]
-                        own[2] = own[2] * fitted.step.astype(np.float32)
-                    yield around(own, k[a:b], ids[a:b], codes[a:b] * fitted.step.astype(np.float32))
-
-    def around(own, k, ids, v):
-        keys, candidates, points = own
-        out = [], [], []
-        at = np.searchsorted(keys, k)
-        for i in range(len(k)):
-            a, b = max(0, at[i] - window), min(len(keys), at[i] + window)
-            d = np.sqrt(((points[a:b] - v[i]) ** 2).sum(1))
-            best = np.argpartition(d, listed)[:listed] if len(d) > listed else np.arange(len(d))
-            out[0].append(np.full(len(best), ids[i]))
-            out[1].append(candidates[a:b][best])
-            out[2].append(d[best])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["class", "vec", "score"])
+                        own[2] = own[2] * fitted[segment].step.astype(np.float32)
+                        own.append((own[2] ** 2).sum(1))
+                    v = (np.frombuffer(data, wide).reshape(-1, width) - centres[segment]).astype(np.float32)
+                    # a byte is off by half a step at most; rows within twice that error of the query cannot be told apart
+                    yield from around(own, k[a:b], last[a:b], ids[a:b], v, float(np.sqrt((fitted[segment].step ** 2).sum())))
+
+    def around(own, first, last, ids, v, error):
+        keys, candidates, points, sizes = own
+        out, held = ([], [], []), 0
+        starts, ends = np.searchsorted(keys, first), np.searchsorted(keys, last, side="right")
+        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+            if a < b:
+                d = np.sqrt(np.maximum(sizes[a:b] + (v[i] ** 2).sum() - 2 * (points[a:b] @ v[i]), 0))
+                d[d <= error] = 0
+                best = np.argpartition(d, listed)[:listed] if len(d) > listed else np.arange(len(d))
+                if len(d) > listed:
+                    best = np.union1d(best, np.flatnonzero(d == 0))
+                for x, part in zip(out, (np.full(len(best), ids[i]), candidates[a:b][best], d[best])):
+                    x.append(part)
+                held += len(best)
+            if held and (held > 1 << 17 or i == len(v) - 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["class", "vec", "score"])
+                out, held = ([], [], []), 0
 
     found = dealt.mapInArrow(search, "class bigint, vec bigint, score float").groupBy("class", "vec").agg(F.min("score").alias("score"))
+    found = found.withColumn("close", F.col("score") == 0)
+    ahead = Window.partitionBy("class", "close").orderBy("score", "vec")
+    found = found.withColumn("r", F.row_number().over(ahead)).where(F.col("close") | (F.col("r") <= 2 * listed)).select("class", "vec")
     top = Window.partitionBy("class").orderBy("score", "vec")
-    found = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= 2 * listed).select("class", "vec")
     exact = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
     found = found.join(few.select(F.col("id").alias("vec"), "v"), "vec").join(classes.select(F.col("id").alias("class"), F.col("v").alias("q")), "class")
     found = found.select("class", "vec", exact.alias("score")).groupBy("class", "vec").agg(F.min("score").alias("score"))

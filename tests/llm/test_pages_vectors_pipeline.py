@@ -111,6 +111,33 @@ def test_nearest_with_copies_and_odd_vectors(spark):
     assert hilbert_search.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def recall(found, vectors, queries):
+    exact, hits = vectors.astype(float), 0
+    for q in queries:
+        d = np.sqrt(((exact - exact[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {r.vec_id for r in found if r.query_id == q})
+    return hits / (10 * len(queries))
+
+
+def test_ranges_do_not_grow_with_the_window(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(4000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    cuts, fit = [], hilbert_search.fit_curves
+
+    def seen(*args, **named):
+        cuts.append(fit(*args, **named))
+        return cuts[-1]
+
+    monkeypatch.setattr(hilbert_search, "fit_curves", seen)
+    found = hilbert_search.nearest(df, F.col("vec_id") % 40 == 0, window=500, range_rows=128).collect()
+    for curve in range(32):
+        size = np.bincount(np.searchsorted(cuts[0].splits[curve], cuts[0].keys(vectors.astype(float), curve), side="right"))
+        assert size.max() <= 2 * 128
+    assert recall(found, vectors, range(0, 4000, 40)) >= 0.95
+
+
 SF = Path("/root/testdata/sf0.001")
 
 
