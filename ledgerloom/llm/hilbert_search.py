@@ -10,6 +10,10 @@ rows nearer than a true neighbour on a curve grows with the rows, and a fixed wi
 interval of keys, by the keys of the sample. A range holds about ``range_rows`` rows however large the window is; a query
 goes to every range that its window meets, and the lists of all ranges are merged in Spark.
 
+Crowded places: tight groups, found in the sample, are segments with axes, grids and one-byte steps of their own, around
+their own centre, and tight groups in them likewise. A row is in one segment; a query asks every segment that can hold one
+of its neighbours. Rows nearer to a query than the error of their bytes are all ranked exactly.
+
 Copies: of equal vectors the rows with the smallest ids are enough, so at most neighbours + 1 of them are searched; equal
 query vectors are searched once. Rows of one grid cell are ordered by a hash, another one on each curve.
 """
@@ -105,6 +109,48 @@ def fit_curves(sample: np.ndarray, curves: int, axes: int, bits: int, ranges: in
     return out
 
 
+def tight_groups(sample: np.ndarray, least: int, ratio: float = 0.25, pivots: int = 1024, most: int = 64, seed: int = 3) -> list[tuple[np.ndarray, float]]:
+    """Centre and radius of groups of ``least`` rows or more that lie much nearer to each other than the rows around them do.
+
+    Groups in a group come after it. From pivots, the ``least``-th nearest row is compared with the median one.
+    """
+    random = np.random.default_rng(seed)
+    out, todo = [], [sample]
+    while todo and len(out) < most:
+        own = todo.pop(0)
+        while len(own) >= 4 * least and len(out) < most:
+            at = own - own.mean(0)
+            size = (at**2).sum(1)
+            chosen = random.permutation(len(own))[:pivots]
+            best = (ratio, None)
+            for i in range(0, len(chosen), 128):
+                some = chosen[i : i + 128]
+                d = np.sqrt(np.maximum(size[some][:, None] + size - 2 * at[some] @ at.T, 0))
+                d.partition((least, len(own) // 2), axis=1)
+                # where most rows are one group, the median is inside it: the farthest rows count then
+                tight = d[:, least] / np.maximum(np.maximum(d[:, len(own) // 2], d.max(1) / 2), 1e-300)
+                if tight.min() < best[0]:
+                    best = (tight.min(), some[tight.argmin()])
+            if best[1] is None:
+                break
+            d = np.sort(np.sqrt(((at - at[best[1]]) ** 2).sum(1)))
+            gap = d[least + 1 :] / np.maximum(d[least:-1], 1e-300)
+            cut = least + int(gap.argmax()) if gap.max() > 1.5 else int(np.searchsorted(d, 2 * d[least], side="right")) - 1
+            members = np.sqrt(((at - at[best[1]]) ** 2).sum(1)) <= d[cut]
+            centre = own[members].mean(0)
+            away = np.sqrt(((own - centre) ** 2).sum(1))
+            radius = away[members].max() * 1.25
+            if (~members).any():
+                radius = max(away[members].max(), min(radius, (away[members].max() + away[~members].min()) / 2))
+            members = away <= radius
+            if members.all():
+                break
+            out.append((centre, float(radius)))
+            todo.append(own[members])
+            own = own[~members]
+    return out
+
+
 def segment_of(vectors: np.ndarray, groups: list[tuple[np.ndarray, float]]) -> np.ndarray:
     """Number of the last group that holds each vector, from 1; 0 for vectors in none."""
     out = np.zeros(len(vectors), np.int64)
@@ -146,7 +192,7 @@ def nearest(
         sample = rows.select("v").limit(max_sample).toPandas()
     points = np.unique(np.stack(sample["v"].to_numpy()), axis=0)
     points = points[np.random.default_rng(11).permutation(len(points))]
-    groups = []
+    groups = tight_groups(points, max(32, len(points) // 300))
     centres = [np.zeros(width), *(centre for centre, _ in groups)]
     of, each, fitted = segment_of(points, groups), total / len(points), []
     for i, centre in enumerate(centres):

@@ -120,6 +120,20 @@ def recall(found, vectors, queries):
     return hits / (10 * len(queries))
 
 
+def test_nearest_in_a_crowd_of_near_copies(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(6000, 24))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[::3] = vectors[0] + 1e-4 * rng.normal(size=(2000, 24))  # a third of the rows, distinct
+    vectors[1:600:15] = vectors[1] + 1e-5 * rng.normal(size=(40, 24))
+    vectors = vectors.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    found = hilbert_search.nearest(df, F.col("vec_id") % 25 == 0, window=60, range_rows=256).collect()
+    asked = list(range(0, 6000, 25))
+    assert recall(found, vectors, [q for q in asked if q % 3 == 0]) >= 0.9
+    assert recall(found, vectors, [q for q in asked if q % 3]) >= 0.9
+
+
 def test_ranges_do_not_grow_with_the_window(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vectors = rng.normal(size=(4000, 16)).astype(np.float32)
