@@ -118,8 +118,11 @@ def bucket_counts(sample: DataFrame, most: int, least_z: float) -> np.ndarray:
             more_p, more_u = counted(place, np.asarray(batch.column("positive"))[row])
             p[at] += more_p.astype(np.int32)
             u[at] += more_u.astype(np.int32)
-        at = np.flatnonzero(p + u > 1)  # a bucket seen once in a task hardly adds to its shares
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(p[at].astype(np.int64)), pa.array(u[at].astype(np.int64))], ["at", "p", "u"])
+        # all counts, those of one too: how rows lie in tasks must not change the sums
+        seen = np.flatnonzero(p + u)
+        for i in range(0, len(seen), 1 << 17):
+            at = seen[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(p[at].astype(np.int64)), pa.array(u[at].astype(np.int64))], ["at", "p", "u"])
 
     def strongest(counted: DataFrame, bound: int) -> list:
         p, u = F.col("p") / max(n_p, 1), F.col("u") / max(n_u, 1)
@@ -199,6 +202,7 @@ def train(
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))], ["positive", "at"])
 
     rows = sample.mapInArrow(task, "positive int, at array<int>").collect()  # a bounded sample
+    rows.sort(key=lambda r: (r["positive"], r["at"]))  # the same order however the rows lie in tasks
     x = np.zeros((len(rows), len(features)), np.float32)
     for i, r in enumerate(rows):
         x[i, r["at"]] = 1

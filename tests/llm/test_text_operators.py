@@ -220,6 +220,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(df, nothing).collect()} == {0.0}
 
 
+def test_toxicity_features_do_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    rows = [(" ".join(f"{'abcdefgh'[rng.randrange(8)]}{'aeiou'[rng.randrange(5)]}{'lmnprst'[rng.randrange(7)]}" for _ in range(12)) + (" foulword" if i < 30 else ""), int(i < 600)) for i in range(2100)]
+    sample = spark.createDataFrame(rows, "text string, positive int")
+    found = [toxicity.bucket_counts(sample.repartition(n), 768, 4.5) for n in (1, 200)]
+    assert len(found[0]) and found[0].tolist() == found[1].tolist()
+
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(1)
     said = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "", None, "a\nb", "<|", "<\\\\|x|>", "é😀"]
