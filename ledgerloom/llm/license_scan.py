@@ -19,7 +19,7 @@ from ledgerloom.llm.common import landed
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: some word of every keyword, on raw text: what does not match this is not scanned
-GATE = r"(?i)licen[cs]|copyright|spdx|gpl|domain|reserved|redistribut|copyleft|commons|cc0|warranty|wtfpl|eula|mpl|bsd"
+GATE = r"(?i)licen[cs]|copyright|spdx|gpl|domain|reserved|redistribut|copyleft|commons|cc0|warranty|wtfpl|eula|mpl|bsd|hereby"
 
 # Phrases and labels of the base.
 BASE = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
@@ -60,13 +60,12 @@ WORDINGS = (
     ("licen[cs]e (?:{})", "license", 2),
     ("(?:{}) licen[cs]ed?", "license", 1),
 )
-# Label, pattern, keyword, priority of statements that name no license.
+# Label, pattern, keyword (a word that the pattern requires), priority of statements that name no license.
 STATEMENTS = (
-    ("copyright", "copyright (?:c )?(?:[0-9]{4} )?", "copyright", 1), ("all-rights-reserved", "all rights reserved", "reserved", 2),
+    ("copyright", "copyright(?: c)?(?: [0-9]{4})?", "copyright", 1), ("all-rights-reserved", "all rights reserved", "reserved", 2),
     ("public-domain", "(?:released into|in|dedicated to) the public domain", "domain", 2),
     ("no-warranty", "without warranty of any kind", "warranty", 1), ("bsd", "redistribution and use in source and binary forms", "redistribution", 2),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "copyright", 2),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "license", 2), ("copyleft", "copyleft", "copyleft", 1),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby", 2), ("copyleft", "copyleft", "copyleft", 1),
 )
 RULES = [
     (number, label, priority, keyword, f"(?<= )(?:{pattern})(?= )")

@@ -309,6 +309,35 @@ def test_license_scan(spark):
     assert len(twice) == 2 and twice[0] == twice[1]
 
 
+def shortest(parsed):
+    """A text that a parsed pattern matches: first branches, least repetitions."""
+    out = ""
+    for kind, what in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(what)
+        elif kind == "MAX_REPEAT":
+            out += shortest(what[2]) * what[0]
+        elif kind == "BRANCH":
+            out += shortest(what[1][0])
+        elif kind == "SUBPATTERN":
+            out += shortest(what[3])
+        elif kind == "IN":
+            out += chr(what[0][1] if str(what[0][0]) == "LITERAL" else what[0][1][0])
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT")
+    return out
+
+
+def test_every_license_rule_finds_its_example(spark):
+    examples = [shortest(re._parser.parse(pattern)) for *_, pattern in license_scan.RULES]
+    texts = [*examples, "Copyright (c) 2020 Acme Corp", "Copyright Acme", "Permission is hereby granted, free of charge, to any person obtaining a copy"]
+    found = {r.doc_id: r.labels.split(",") for r in license_scan.scan(documents(spark, texts)).collect()}
+    assert [(t, r[1]) for i, (t, r) in enumerate(zip(examples, license_scan.RULES)) if r[1] not in found[i]] == []
+    assert [found[len(examples) + i] for i in range(3)] == [["copyright"], ["copyright"], ["mit"]]
+
+
+
 def test_slices_cover_all_rows():
     from ledgerloom.llm.common import slices
 
