@@ -4,14 +4,18 @@ A template is any function from turns to text. Successive prefixes of a conversa
 prefix has more than the output before is the span of its last turn. If an output does not start with the one before, the
 template rewrites history, and the turn is marked. Nothing is assumed about how the template works inside.
 
-Conversations are streamed: rows are dealt by conversation, sorted, and rendered turn by turn. A long conversation is
-rendered in windows: after ``window_turns`` turns or ``window_chars`` characters the prefix is cut to its first turn and
-the last one before the window, so time stays in proportion to the rows and a task holds one window, not a conversation.
+Rows are dealt by conversation, sorted, and rendered turn by turn. A long conversation is rendered in windows: after
+``window_turns`` turns or ``window_chars`` characters the prefix is cut to its first turn and the last one before the
+window, so time stays in proportion to the rows. With a template that is known to render every turn alone, conversations
+are streamed and a task holds one window. With any other a task holds a conversation: what the windows gave is compared
+with whole renderings of its first 1, 2, 4, ... turns and of all; if one differs, or a window rewrites history, the
+conversation is rendered again by whole prefixes, in time that grows with the square of its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable
 
@@ -53,6 +57,7 @@ def marked_turns(turns: list[tuple[str, str]]) -> str:
 def render_turns(
     df: DataFrame, template: Template = marked_turns, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
     loss_roles: tuple[str, ...] = ("assistant",), escaped: Callable[[str], str] = escape, window_turns: int = 64, window_chars: int = 1 << 20,
+    turns_alone: bool | None = None,
 ) -> DataFrame:
     """One row for each turn: its rendered text, span in the conversation's output, loss span and rewriting mark.
 
@@ -60,8 +65,11 @@ def render_turns(
     count as empty. Rows with a NULL conversation form one conversation. ``span_start`` and ``span_end`` count characters
     of the whole output. The loss span is where the turn's escaped text stands in its span, for the loss roles; it is the
     last occurrence before the text's end mark, found by rendering the turn once more with an empty text. Both are NULL
-    where the template rewrites history.
+    where the template rewrites history. ``turns_alone`` says that the template renders every turn by itself, as the
+    marked template does; windows are then not checked.
     """
+    if turns_alone is None:
+        turns_alone = template is marked_turns
     rows = df.select(
         F.col(conv).cast("bigint").alias("conv"), F.col(turn).cast("bigint").alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
@@ -74,37 +82,66 @@ def render_turns(
             low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
         return low
 
+    def formatted(said, windows):
+        """Rows of a conversation's turns, and whether the prefix was cut before each."""
+        n, done, turns, cut = 0, 0, [], False
+        before = template(turns)
+        for c, t, who, what in said:
+            if windows and turns and (len(turns) >= window_turns or sum(len(x) for _, x in turns[1:]) > window_chars):
+                cut = cut or len(turns) > 2
+                turns = [turns[0], turns[-1]] if len(turns) > 1 else turns
+                before = template(turns)
+            turns = [*turns, (who, what)]
+            now = template(turns)
+            rewrites = not now.startswith(before)
+            start = common(before, now) if rewrites else len(before)
+            piece = now[start:]
+            loss = who in loss_roles and not rewrites
+            at = end = None
+            if loss:
+                body = escaped(what)
+                empty = template([*turns[:-1], (who, "")])[start:]
+                # the text stands where the rendering with an empty text parts from this one
+                at = common(empty, piece)
+                while at > 0 and piece[at : at + len(body)] != body:
+                    at -= 1
+                end = at + len(body)
+            yield (c, t, n, who, loss, piece, done, done + len(piece), done + at if loss else None, done + end if loss else None, rewrites), cut
+            n, done, before = n + 1, done + len(piece), now
+
+    def agrees(said, found):
+        """Whether the rows are those of whole renderings, looked at after 1, 2, 4, ... turns and the last."""
+        turns, text, at, n = [(who, what) for _, _, who, what in said], [template([])], 0, 1
+        while at < len(turns):
+            text = ["".join([*text, *(r[5] for r in found[at:n])])]
+            if any(r[-1] for r in found[at:n]) or template(turns[:n]) != text[0]:
+                return False
+            at, n = n, min(2 * n, len(turns))
+        return True
+
+    def conversation(said):
+        if turns_alone:
+            yield from (row for row, _ in formatted(said, True))
+            return
+        said = list(said)
+        found = list(formatted(said, True))
+        rows = [row for row, _ in found]
+        if found[-1][1] and not agrees(said, rows):
+            rows = (row for row, _ in formatted(said, False))
+        yield from rows
+
     def task(batches):
-        current, n, done, turns, before = None, 0, 0, [], ""
-        for batch in batches:
-            out = []
-            for c, t, who, what in zip(*(batch.column(x).to_pylist() for x in ("conv", "turn", "role", "text"))):
-                if current != (c,):
-                    current, n, done, turns = (c,), 0, 0, []
-                    before = template(turns)
-                elif len(turns) >= window_turns or sum(len(x) for _, x in turns[1:]) > window_chars:
-                    turns = [turns[0], turns[-1]] if len(turns) > 1 else turns
-                    before = template(turns)
-                turns = [*turns, (who, what)]
-                now = template(turns)
-                rewrites = not now.startswith(before)
-                start = common(before, now) if rewrites else len(before)
-                piece = now[start:]
-                loss = who in loss_roles and not rewrites
-                at = end = None
-                if loss:
-                    body = escaped(what)
-                    empty = template([*turns[:-1], (who, "")])[start:]
-                    # the text stands where the rendering with an empty text parts from this one
-                    at = common(empty, piece)
-                    while at > 0 and piece[at : at + len(body)] != body:
-                        at -= 1
-                    end = at + len(body)
-                out.append((c, t, n, who, loss, piece, done, done + len(piece), done + at if loss else None, done + end if loss else None, rewrites))
-                n, done, before = n + 1, done + len(piece), now
-            columns = list(zip(*out)) if out else [()] * 11
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), *[pa.int64()] * 4, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
+        said = (r for batch in batches for r in zip(*(batch.column(x).to_pylist() for x in ("conv", "turn", "role", "text"))))
+        found = (row for _, own in itertools.groupby(said, key=lambda r: r[0]) for row in conversation(own))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), *[pa.int64()] * 4, pa.bool_()]
+        out, size = [], 0
+        for row in itertools.chain(found, [None]):
+            if row:
+                out.append(row)
+                size += len(row[5])
+            if out and (row is None or len(out) >= 10_000 or size > 4 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
+                out, size = [], 0
 
     return rows.mapInArrow(task, SCHEMA)
 

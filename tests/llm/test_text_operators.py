@@ -259,6 +259,27 @@ def test_templates_that_rewrite_history_are_marked(spark):
     assert found[1].loss_start is None
 
 
+def test_windows_give_what_whole_prefixes_give(spark):
+    df = spark.createDataFrame([(c, i, "user" if i % 2 == 0 else "assistant", f"t{i} " * 3) for c, n in ((1, 150), (2, 5)) for i in range(n)], "conv_id bigint, turn int, role string, text string")
+
+    def numbered(turns):
+        return "".join(f"[{i} {r}:{t}]" for i, (r, t) in enumerate(turns))
+
+    def strips_earlier(turns):
+        return "".join(f"[{r}:{t if i > len(turns) - 20 else ''}]" for i, (r, t) in enumerate(turns))
+
+    def drops_old(turns):
+        return "".join(f"[{r}:{t}]" for r, t in turns[-100:])
+
+    for template in (numbered, strips_earlier, drops_old):
+        whole = chat_format.render_turns(df, template, escaped=str, window_turns=1000).orderBy("conv_id", "n").collect()
+        assert chat_format.render_turns(df, template, escaped=str).orderBy("conv_id", "n").collect() == whole
+        assert any(r.rewrites_history for r in whole) == (template is not numbered)
+    whole = chat_format.render_turns(df, numbered, escaped=str, window_turns=1000).orderBy("conv_id", "n").collect()
+    assert chat_format.render_turns(df, numbered, escaped=str, window_chars=100).orderBy("conv_id", "n").collect() == whole
+
+
+
 @pytest.mark.parametrize("text", ["<|x", "<\\|", "a<\\\\||b", "<|im_start|>", "<", "|"])
 def test_escape(text):
     assert chat_format.unescape(chat_format.escape(text)) == text and "<|" not in chat_format.escape(text)
