@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Rows, WordIndex, arrow_map, crc_bucket, letters_only, ngrams, sampled, slices, split_words
+from ledgerloom.llm.common import Rows, WordIndex, arrow_map, crc_bucket, letters_only, ngrams, slices, split_words
 
 ORDERS = (0, 1, 2, 3, 4)
 BITS = 15
@@ -73,7 +73,7 @@ class Model:
 def train(labelled: DataFrame, text: str, lang: str, key: str, max_rows: int = 8_000) -> Model:
     """Fit a model on rows with a language, a sample of about ``max_rows`` of them if there are more.
 
-    Rows with a NULL text or language are left out. Without any row the model knows no language.
+    The sample takes an equal share for each language, and all rows of a language that has fewer. Rows with a NULL text or language are left out. Without any row the model knows no language.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     per_language = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # a row for each language
@@ -97,7 +97,12 @@ def train(labelled: DataFrame, text: str, lang: str, key: str, max_rows: int = 8
         at, place = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(totals[at, place])], ["k", "at", "n"])
 
-    sample = sampled(rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")), "key", sum(per_language.values()), max_rows)
+    sample = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    if sum(per_language.values()) > max_rows:
+        bound = max(1, max_rows // len(languages))
+        limit = {x: int((1 << 24) * bound / n) for x, n in per_language.items() if n > bound}
+        limits = F.create_map(*(F.lit(y) for pair in limit.items() for y in pair))[F.col("lang")]
+        sample = sample.where(F.pmod(F.xxhash64(F.lit(7), F.col("key")), F.lit(1 << 24)) < F.coalesce(limits, F.lit(1 << 24)))
     counted = sample.select("text", "lang").mapInArrow(task, "k int, at int, n bigint").groupBy("k", "at").agg(F.sum("n").alias("n"))
     counts = np.zeros((width, len(languages)))
     for r in counted.toLocalIterator():  # languages x buckets at most

@@ -188,6 +188,14 @@ def test_language_of_mixed_and_odd_texts(spark):
     assert {r.lang_pred for r in language.label_spans(df, "doc_id", "text", none).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned_from_all_its_rows(spark):
+    texts = ["the of and that with from"] * 400 + ["der die und nicht mit von"] * 400 + ["и не на что он как"] * 2
+    df = documents(spark, texts, ["aa"] * 400 + ["bb"] * 400 + ["cc"] * 2)
+    model = language.train(df, "text", "lang", "doc_id", max_rows=60)
+    found = {r.doc_id: r for r in language.label_spans(df, "doc_id", "text", model).collect()}
+    assert [found[i].lang_pred for i in (0, 400, 800)] == ["aa", "bb", "cc"] and found[800].score == 1
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 7):
