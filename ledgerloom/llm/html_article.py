@@ -27,7 +27,8 @@ from ledgerloom.llm.common import arrow_map, sampled
 
 # Element names of the HTML standard, and words that page authors use in names of containers.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+TO_THE_END = frozenset("script style textarea title".split())  # without an end tag
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -64,6 +65,7 @@ def parse(page: str) -> list[Node]:
     nodes = [Node("#root", -1, 0, frozenset())]
     stack = [0]
     at, end = 0, len(page)
+    unclosed = set()
 
     def add(tag, names=frozenset(), text=""):
         parent = stack[-1]
@@ -98,9 +100,14 @@ def parse(page: str) -> list[Node]:
                     break
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
+            if not m[3].endswith("/") and tag not in unclosed:
                 done = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = done.end() if done else end
+                if done:
+                    at = done.end()
+                elif tag in TO_THE_END:
+                    at = end
+                else:
+                    unclosed.add(tag)
             continue
         if tag == "head":
             done = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)

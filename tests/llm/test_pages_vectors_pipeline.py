@@ -52,6 +52,15 @@ def test_nothing_is_kept_below_a_dropped_node():
         assert all(kept[n.parent] or not kept[i] for i, n in enumerate(nodes) if i)
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "math", "noscript", "template", "iframe"])
+def test_an_unclosed_element_does_not_end_the_page(tag):
+    text = lambda page: " ".join(n.text for n in html_article.parse(page) if n.tag == "#text")
+    assert text(f"<article><p>a</p><{tag}><p>b</p></article>") == "a b"
+    closed = text(f"<p>a <{tag}>x</{tag}> b</p>").split()
+    assert closed == (["a", "b"] if tag in html_article.RAW else ["a", "x", "b"])
+    assert text("<p>a</p><script><p>b</p>") == "a"
+
+
 def test_decoding_is_the_most_likely_labelling():
     nodes = html_article.parse("<div><p>a</p><b>b</b></div>c")
     rng = np.random.default_rng(4)
