@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat_format, decontaminate, hilbert_search, html_article, language, license_scan, minhash, toxicity, warc
+from ledgerloom.llm import (
+    bpe, chat_format, decontaminate, hilbert_search, html_article, language, lexical_search, license_scan, minhash, packing, periodic_runs, toxicity, warc,
+)
 from ledgerloom.llm.common import crc_bucket, table
 
 VOCABULARY = "piece_bpe_32k.model"
+PACKED_VOCABULARY = "word_bpe_49k.json"
 
 
-def vocabulary_file() -> str:
+def vocabulary_file(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +72,26 @@ def op10_html_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_article.extract(pages, html_article.train(pages))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_file(PACKED_VOCABULARY))
+    return packing.pack(pieces)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return periodic_runs.digests(periodic_runs.periodic_runs(planted, "doc_id", "text"), "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_toxicity, op3_minhash_dedup, op4_license_scan, op5_language_id,
         op6_warc_derivatives, op7_decontaminate, op8_hilbert_search, op9_bpe_round_trip, op10_html_article,
+        op11_lexical_search, op12_best_fit_packing, op13_periodic_runs,
     )
 }
 
@@ -104,4 +122,21 @@ ORACLE: dict[str, str] = {
         ), reach(a, b) as (select doc_id, doc_id from sets union select r.a, p.b from reach r join pairs p on r.b = p.a)
         select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.b) as component_id, s.doc_id = min(r.b) as kept
         from sets s join reach r on r.a = s.doc_id group by s.doc_id, s.s""",
+    "op11_lexical_search": r"""
+        with worded as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w,
+                row_number() over () as r from documents
+        ), all_of as (select count(*) filter (len(w) > 0) as all_docs, sum(len(w))::bigint as all_terms from worded),
+        asked as (
+            select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+            from benchmark where item_id is not null
+        ), flat as (select r, doc_id, len(w)::bigint as n, unnest(w) as t from worded),
+        held as (select r, doc_id, n, t, count(*) as tf from flat where t in (select t from asked) group by r, doc_id, n, t),
+        weighed as (select t, floor(1000 * ln((2 * all_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, all_of group by t, all_docs),
+        scored as (
+            select a.item_id, h.r, h.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * all_docs) // all_terms))))::bigint as score
+            from asked a join held h on a.t = h.t join weighed g on g.t = a.t, all_of group by a.item_id, h.r, h.doc_id
+        )
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score
+        from scored where score > 0 qualify rank <= 10""",
 }
