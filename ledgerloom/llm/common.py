@@ -20,11 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
+def landed(df: DataFrame, name: str, with_path: bool = False) -> DataFrame | tuple[DataFrame, str]:
     """Write df below the shared folder and read it back: later stages do not depend on executors that made it."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (made, path) if with_path else made
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of :func:`landed` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def crc_bucket(key: str, n: int) -> Column:

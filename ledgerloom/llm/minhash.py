@@ -32,8 +32,6 @@ from ledgerloom.llm.components import components
 
 SHINGLE = 5
 BLOCK = 256
-#: ids up to this number are broadcast (16 MB); more are joined by a shuffle
-BROADCAST_IDS = 2_000_000
 
 
 class Shingler:
@@ -246,11 +244,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     full = keys.groupBy("table", "key").agg(F.count("*").alias("members")).where("members > 1")
     keys = landed(keys.join(full, ["table", "key"]), "buckets")
     meets = keys.groupBy("id").agg(F.sum("members").alias("meets"))
-    ids = meets.select("id")
+    meets = landed(meets, "meets")
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = landed(texts.join(ids, "id", "left_semi"), "candidate-texts")
+    texts = landed(texts.join(meets, "id", "left_semi"), "candidate-texts")
 
     centre = keys.join(meets, "id").groupBy("table", "key").agg(F.max(F.struct("meets", (-F.col("id")).alias("low"))).alias("top"))
     centre = centre.select("table", "key", (-F.col("top.low")).alias("a"))
