@@ -46,7 +46,7 @@ def sampled(df: DataFrame, key: str, have: int, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1 << 24)) < int((1 << 24) * bound / have))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one hold about ``size`` bytes (a single longer text is one slice)."""
     for batch in batches:
         if not batch.num_rows:

@@ -107,7 +107,7 @@ def pieces(df: DataFrame, key: str, text: str, tokenizer_file: str, end_id: int
 
     def task(batches):
         encoder = Encoder(definition)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             ids, starts = encoder.encode(batch.column("text").fill_null(""), end_id)
             size = np.diff(starts)
             parts = -(-size // most)
