@@ -10,6 +10,7 @@ The rules are wordings times families: ``RULES`` is built from the two tables be
 from __future__ import annotations
 
 import itertools
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,10 +68,24 @@ STATEMENTS = (
     ("no-warranty", "without warranty of any kind", "warranty", 1), ("bsd", "redistribution and use in source and binary forms", "redistribution", 2),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby", 2), ("copyleft", "copyleft", "copyleft", 1),
 )
+
+
+def name_words(name: str) -> list[str]:
+    """Words of which a text that matches the pattern of a name holds one: the longest of each of its alternatives."""
+    plain = re.sub(r"\(\?:[^()]*\)\?", " ", re.sub(r"\(\?:[^()]*\)\?", " ", name))
+    found = set()
+    for part in re.findall(r"(?:\([^()]*\)|[^|()])+", plain):
+        group = re.search(r"\(\?:([^()]*)\)", part)
+        words = [re.findall("[a-z0-9]+", x) for x in (group[1].split("|") if group else [part])]
+        found |= {max(w, key=len) for w in words if w}
+    return sorted(found)
+
+
 RULES = [
-    (number, label, priority, keyword, f"(?<= )(?:{pattern})(?= )")
-    for number, (label, pattern, keyword, priority) in enumerate(itertools.chain(
-        ((label, wording.format(name), keyword, priority) for (wording, keyword, priority), (label, name) in itertools.product(WORDINGS, FAMILIES)), STATEMENTS
+    (number, label, priority, keyword, f"(?<= )(?:{pattern})(?= )", names)
+    for number, (label, pattern, keyword, priority, names) in enumerate(itertools.chain(
+        ((label, wording.format(name), keyword, priority, name_words(name)) for (wording, keyword, priority), (label, name) in itertools.product(WORDINGS, FAMILIES)),
+        ((*statement, [statement[2]]) for statement in STATEMENTS),
     ))
 ]
 WEIGHT = {1: 0.6, 2: 0.8, 3: 0.95}
@@ -113,19 +128,22 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
     spark = df.sparkSession
-    rules = F.broadcast(spark.createDataFrame(RULES, "rule int, label string, priority int, keyword string, pattern string"))  # a fixed table
+    rules = F.broadcast(spark.createDataFrame(RULES, "rule int, label string, priority int, keyword string, pattern string, names array<string>"))  # a fixed table
+    named = F.array(*(F.lit(w) for w in sorted({w for r in RULES for w in r[5]})))
     keywords = sorted({r[3] for r in RULES})
     held = F.array(*(F.lit(k) for k in keywords))
     # 'license' also stands for 'licence' and 'licensed'
     joined = hits.select("r1", "r2", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("s"))
-    gated = joined.select("r1", "r2", "s", F.explode(F.filter(held, lambda k: F.col("s").contains(k) | ((k == "license") & F.col("s").contains("licence")))).alias("keyword"))
-    scanned = gated.join(rules, "keyword").where(F.expr("s rlike pattern"))
+    joined = joined.select("r1", "r2", "s", F.filter(named, lambda w: F.col("s").contains(w)).alias("held"))
+    gated = joined.select("r1", "r2", "s", "held", F.explode(F.filter(held, lambda k: F.col("s").contains(k) | ((k == "license") & F.col("s").contains("licence")))).alias("keyword"))
+    scanned = gated.join(rules, "keyword").where(F.arrays_overlap("names", "held") & F.expr("s rlike pattern"))
     found = scanned.select("r1", "r2", "rule", "label", "priority", F.expr("regexp_extract_all(s, pattern, 0)").alias("m"), F.expr("split(s, pattern, -1)").alias("between"))
-    length = "aggregate(slice({}, 1, {}), 0, (a, x) -> a + length(x))"
-    found = found.select("r1", "r2", "rule", "label", "priority", "between", "m", F.posexplode("m").alias("at", "hit"))
-    found = found.select(
-        "r1", "r2", "rule", "label", "priority", F.expr(f"{length.format('between', 'at + 1')} + {length.format('m', 'at')}").alias("start"), F.length("hit").alias("n")
-    ).withColumn("end", F.col("start") + F.col("n")).dropDuplicates(["r1", "r2", "start", "end", "label", "priority"])
+    # a hit's start is the length of all before it: running sums, so that a text's work grows with its hits
+    parts = F.posexplode(F.expr("transform(m, (x, i) -> struct(length(between[i]) as gap, length(x) as n))")).alias("at", "part")
+    found = found.select("r1", "r2", "rule", "label", "priority", parts)
+    so_far = Window.partitionBy("r1", "r2", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("part.gap") + F.col("part.n")).over(so_far)
+    found = found.select("r1", "r2", "rule", "label", "priority", (end - F.col("part.n")).alias("start"), end.alias("end")).dropDuplicates(["r1", "r2", "start", "end", "label", "priority"])
     up_to = Window.partitionBy("r1", "r2").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("r1", "r2", "priority").orderBy("start", F.desc("end"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     higher = F.lit(None).cast("int")

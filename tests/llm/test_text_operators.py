@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -359,13 +360,62 @@ def shortest(parsed):
 
 
 def test_every_license_rule_finds_its_example(spark):
-    examples = [shortest(re._parser.parse(pattern)) for *_, pattern in license_scan.RULES]
+    examples = [shortest(re._parser.parse(r[4])) for r in license_scan.RULES]
     texts = [*examples, "Copyright (c) 2020 Acme Corp", "Copyright Acme", "Permission is hereby granted, free of charge, to any person obtaining a copy"]
     found = {r.doc_id: r.labels.split(",") for r in license_scan.scan(documents(spark, texts)).collect()}
     assert [(t, r[1]) for i, (t, r) in enumerate(zip(examples, license_scan.RULES)) if r[1] not in found[i]] == []
     assert [found[len(examples) + i] for i in range(3)] == [["copyright"], ["copyright"], ["mit"]]
 
 
+def branches(parsed):
+    """Texts that a parsed pattern matches: every branch, least repetitions."""
+    out = [""]
+    for kind, what in parsed:
+        kind = str(kind)
+        if kind == "BRANCH":
+            ends = [x for branch in what[1] for x in branches(branch)]
+        elif kind == "MAX_REPEAT":
+            ends = [x * what[0] for x in branches(what[2])] if what[0] else [""]
+        elif kind == "SUBPATTERN":
+            ends = branches(what[3])
+        else:
+            ends = [shortest([(kind, what)])]
+        out = [a + b for a in out for b in ends]
+    return out
+
+
+def test_the_gate_of_names_lets_every_match_through():
+    for _, _, _, keyword, pattern, names in license_scan.RULES:
+        for text in branches(re._parser.parse(pattern)):
+            assert any(w in text for w in names), (pattern, text, names)
+
+
+def test_license_priority_and_containment_equal_brute_force(spark):
+    rng = random.Random(12)
+    rules = rng.sample(license_scan.RULES, 60)
+    some = [t for r in rules for t in branches(re._parser.parse(r[4]))][:200]
+    texts = [" ".join(rng.choice(some + ["x", "license", "the", "gpl", "version 2 0"]) for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    found = {r.doc_id: r for r in license_scan.scan(documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        s = " " + " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())) + " "
+        hits = [(m.start(), m.end(), p, n, label) for n, label, p, _, pattern, _ in license_scan.RULES for m in re.finditer(pattern, s)]
+        labels, weight = set(), 0
+        for a, b, p, n, label in hits:
+            above = any(q > p and c <= a and d >= b for c, d, q, *_ in hits)
+            beside = any(q == p and (c, -d, m) < (a, -b, n) and d >= b and (c, d, lab) != (a, b, label) for c, d, q, m, lab in hits)
+            if not above and not beside:
+                labels.add(label)
+                weight = max(weight, license_scan.WEIGHT[p])
+        base = set(found[i].base_labels.split(",")) - {""}
+        assert set(found[i].labels.split(",")) - {""} == labels | base, text
+        assert found[i].score == max(weight, 0.6 if base else 0)
+
+
+def test_many_license_hits_in_one_text(spark):
+    start = time.time()
+    row = license_scan.scan(documents(spark, ["Licensed under the MIT License. x " * 16_000])).where("doc_id = 0").first()
+    assert row.n_base == 16_000 and row.labels == "mit" and time.time() - start < 60
+
 
 def test_slices_cover_all_rows():
     from ledgerloom.llm.common import slices
