@@ -77,7 +77,8 @@ def test_a_marker_reads_folders_of_its_chain_from_its_block_on(spark, tmp_path):
     touched = jobs.touched_buckets(changelog.where("batch_id = 1"), changelog, width=10)
     assert {tuple(r) for r in touched.collect()} == {(1, 3), (2, 1), (2, 2), (2, 3)}
     text = touched._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*block_bucket#\d+L >= 2[^\]]*block_bucket#\d+L >= 1", text), text
+    for bound in (1, 2):
+        assert re.search(rf"PartitionFilters: \[[^\]]*block_bucket#\d+L >= {bound}", text), text
 
 
 def run(spark, source, changelog, offsets, after=None):
