@@ -23,6 +23,7 @@ from ledgerloom.operators import messages as M
 from ledgerloom.operators import reorg as R
 from ledgerloom.operators import writers as W
 from ledgerloom.sources.tables import BLOCK_BUCKET, bucket_bounds
+from ledgerloom.streaming import compaction
 
 _LONG, _TEXT = T.LongType(), T.StringType()
 _NARROW = {"uint": _LONG, "string": _TEXT, "bool": T.BooleanType(), "array": T.ArrayType(_TEXT)}
@@ -54,8 +55,13 @@ def store_batch(decoded: DataFrame, batch_id: int, path: str, width: int = BLOCK
 
 
 def read_changelog(spark: SparkSession, path: str, seq: T.DataType = _LONG) -> DataFrame:
-    """The stored changelog; filters on kind, chain and bucket prune directories."""
-    return spark.read.schema(changelog_schema(seq)).option("basePath", path).parquet(path)
+    """The stored changelog, folded or not; filters on kind, chain and bucket prune directories."""
+    return compaction.read(spark, path, changelog_schema(seq))
+
+
+def fold_changelog(spark: SparkSession, path: str, batch_id: int, seq: T.DataType = _LONG, fan: int = compaction.FAN) -> int:
+    """Fold the batches before ``batch_id``, which are closed once it is stored. To be called from ``after_batch``."""
+    return compaction.fold(spark, path, changelog_schema(seq), batch_id - 1, fan)
 
 
 def stored_seq(spark: SparkSession, path: str, batch_id: int) -> T.DataType:
