@@ -25,7 +25,7 @@ from ledgerloom.plans import ingest as I
 from ledgerloom.plans import queries as P
 from ledgerloom.session import scratch_path
 from ledgerloom.sources import rpc, tables, topics
-from ledgerloom.streaming import jobs
+from ledgerloom.streaming import entities, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -563,6 +563,61 @@ def st_replay(fx):
     return V.blocks(fx.changelog.unionByName(again))
 
 
+STORED_WIDTH = 200
+
+
+def _stored(fx: Fixtures) -> str:
+    """Tables that the changelog job kept up to date batch by batch, folding as it went, and then replayed from a block."""
+
+    def run(root: str) -> None:
+        path = scratch_path(fx.spark, "changelog")
+
+        def after(spark: SparkSession, batch_id: int) -> None:
+            jobs.fold_changelog(spark, path, batch_id, fan=2)
+            entities.refresh(spark, path, batch_id, root, STORED_WIDTH)
+
+        source = topics.read_files(fx.spark, fx.land_messages(), CHAINS, max_files_per_trigger=1)
+        order = F.expr("offset * 4 + partition")
+        jobs.start_changelog(source, path, scratch_path(fx.spark, "offsets"), order, after, width=STORED_WIDTH).awaitTermination()
+        entities.rebuild(fx.spark, path, root, 2, 300, STORED_WIDTH)
+
+    return fx._landed("stored-tables", run)
+
+
+@query
+def st_stored_logs(fx):
+    return _text_topics(entities.read(fx.spark, _stored(fx), "logs").drop("block_bucket"))
+
+
+@query
+def st_stored_blocks(fx):
+    return entities.read(fx.spark, _stored(fx), "blocks").drop("block_bucket")
+
+
+@query
+def st_stored_transactions(fx):
+    return entities.read(fx.spark, _stored(fx), "transactions").drop("block_bucket")
+
+
+@query
+def st_stored_receipts(fx):
+    return entities.read(fx.spark, _stored(fx), "receipts").drop("block_bucket")
+
+
+@query
+def q_logs_stored(fx):
+    wanted = Q.LogFilter(chain_id=2, from_block=100, limit=500)
+    table = entities.read(fx.spark, _stored(fx), "logs", chain_id=2, from_block=100, width=STORED_WIDTH)
+    return _text_topics(P.logs(table, wanted))
+
+
+@query
+def q_transactions_stored(fx):
+    wanted = Q.TransactionFilter(address="0x" + "5".rjust(40, "0"), limit=1000)
+    table = entities.read(fx.spark, _stored(fx), "transactions", holding=wanted.address, fields=("from_addr", "to_addr"))
+    return P.transactions(table, wanted)
+
+
 # --- query endpoints --------------------------------------------------------------------------------------
 
 

@@ -454,6 +454,32 @@ _add("st_replay", """
 select chain_id, block_number, block_hash, parent_hash, 1704067200 + block_number as timestamp,
   30000000::bigint as gas_limit, cents as gas_used, seq % 10 as tx_count from curblock""")
 
+_STORED_LOGS = f"""
+select chain_id, block_number, block_hash, tx_hash, log_index, address, '0x' || substring(data, 3) as data,
+  '{_A},' || {_word('user_id')} as topics, false as removed from curlog"""
+_MOVED = """
+select * from (select *, row_number() over (partition by chain_id, tx_hash order by seq desc) as rn
+  from msg where kind = '{kind}') m where rn = 1 and not exists (
+  select 1 from rg r where r.chain_id = m.chain_id and r.seq > m.seq and r.from_block <= m.block_number)"""
+_STORED_TRANSACTIONS = f"""
+select chain_id, tx_hash, block_number, block_hash, seq % 10 as tx_index, {_word('user_id', 40)} as from_addr,
+  null::varchar as to_addr, cast(cents as varchar) as value, seq % 7 as nonce, 21000::bigint as gas, '0' as gas_price,
+  '' as input, 0::bigint as tx_type from ({_MOVED.format(kind='transaction')})"""
+_add("st_stored_logs", _STORED_LOGS)
+_add("st_stored_blocks", """
+select chain_id, block_number, block_hash, parent_hash, 1704067200 + block_number as timestamp,
+  30000000::bigint as gas_limit, cents as gas_used, seq % 10 as tx_count from curblock""")
+_add("st_stored_transactions", _STORED_TRANSACTIONS)
+_add("st_stored_receipts", f"""
+select chain_id, tx_hash, block_number, block_hash, seq % 10 as tx_index, seq % 2 as status, 0::bigint as cumulative_gas_used,
+  21000::bigint as gas_used, null::varchar as contract_address, '' as logs_bloom, cast(cents as varchar) as effective_gas_price
+from ({_MOVED.format(kind='receipt')})""")
+_add("q_logs_stored", f"""
+select * from ({_STORED_LOGS}) where chain_id = 2 and block_number >= 100
+order by block_number, log_index, chain_id, tx_hash, block_hash limit 500""")
+_add("q_transactions_stored", f"""
+select * replace ('' as to_addr) from ({_STORED_TRANSACTIONS}) where from_addr = '0x' || lpad('5', 40, '0')""")
+
 # --- query endpoints -----------------------------------------------------------------------------------------------
 _add("q_logs", f"""
 select {_LOG_COLUMNS} from lgt where chain_id = 1 and block_number >= 100
