@@ -25,7 +25,7 @@ from ledgerloom.plans import ingest as I
 from ledgerloom.plans import queries as P
 from ledgerloom.session import scratch_path
 from ledgerloom.sources import rpc, tables, topics
-from ledgerloom.streaming import entities, jobs
+from ledgerloom.streaming import entities, jobs, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -563,6 +563,23 @@ def st_replay(fx):
     return V.blocks(fx.changelog.unionByName(again))
 
 
+@query
+def st_confirmed_publish(fx):
+    """Blocks as they come back from what two runs of the ordering job wrote."""
+
+    def run(out: str) -> None:
+        root = scratch_path(fx.spark, "ordering")
+        for chain_id, latest in fx.heads.where("chain_id <> 1").collect():
+            publish.rewind(fx.spark, root, chain_id, latest - 99)
+        for _ in range(2):
+            publish.run(
+                fx.spark, root, publish.file_sink(out), fx.heads, _tables(fx), PREFIX, start_block=5, confirmations=12, batch_size=300, whole=False
+            )
+
+    sent = fx.spark.read.parquet(fx._landed("published", run))
+    return M.to_blocks(_as_messages(sent)).select("chain_id", "block_number", "block_hash", "tx_count")
+
+
 STORED_WIDTH = 200
 
 

@@ -454,6 +454,10 @@ _add("st_replay", """
 select chain_id, block_number, block_hash, parent_hash, 1704067200 + block_number as timestamp,
   30000000::bigint as gas_limit, cents as gas_used, seq % 10 as tx_count from curblock""")
 
+_add("st_confirmed_publish", """
+select b.chain_id, b.block_number, b.block_hash, b.tx_count from bl b join (
+  select chain_id, case when chain_id = 1 then 5 else latest_block - 99 end as f, latest_block - 12 as head from hd) r
+  using (chain_id) where b.block_number between r.f and least(r.f + 599, r.head)""")
 _STORED_LOGS = f"""
 select chain_id, block_number, block_hash, tx_hash, log_index, address, '0x' || substring(data, 3) as data,
   '{_A},' || {_word('user_id')} as topics, false as removed from curlog"""
