@@ -162,4 +162,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def letters_only(word: str) -> str:
-    return " ".join(LETTERS.findall(word.lower()))
+    """Runs of letters (Unicode category L) in lower case, joined by blanks; numbers like ² or ½ are no letters."""
+    found = " ".join(LETTERS.findall(word.lower()))
+    if found.isascii() or found.replace(" ", "").isalpha():
+        return found
+    return " ".join("".join(c if c.isalpha() else " " for c in found).split())

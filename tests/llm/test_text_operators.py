@@ -417,6 +417,15 @@ def test_many_license_hits_in_one_text(spark):
     assert row.n_base == 16_000 and row.labels == "mit" and time.time() - start < 60
 
 
+def test_numbers_are_no_letters(spark):
+    from ledgerloom.llm.common import letters_only
+
+    assert [letters_only(w) for w in ("²½①", "x²y", "Ⅷ", "日本3語", "ABC_d", "½")] == ["", "x y", "", "日本 語", "abc d", ""]
+    model = language.train(documents(spark, ["the cat and the dog", "der Hund und die Katze"], ["en", "de"]), "text", "lang", "doc_id")
+    found = {r.doc_id: r.lang_pred for r in language.label_spans(documents(spark, ["² ½ ①", "the dog ²"]), "doc_id", "text", model).collect()}
+    assert found[0] == "und" and found[1] == "en"
+
+
 def test_slices_cover_all_rows():
     from ledgerloom.llm.common import slices
 
