@@ -34,6 +34,11 @@ BLOCKS = frozenset(
     "head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCKS - {"html", "head", "body"}
+# a start tag closes an open node of the second kind, unless one of the first stands between
+SCOPES = {
+    "li": (("ul", "ol", "menu"), ("li",)), "dd": (("dl",), ("dd", "dt")), "dt": (("dl",), ("dd", "dt")), "tr": (("table", "tbody"), ("tr",)),
+    "td": (("table", "tbody"), ("td", "th")), "th": (("table", "tbody"), ("td", "th")), "option": (("table", "tbody"), ("option",)),
+}
 CONTENT_NAMES = frozenset("article main content post entry story body text page blog news prose copy".split())
 CLUTTER_NAMES = frozenset(
     "nav menu navigation navbar breadcrumb header masthead top footer bottom sidebar aside side widget related recommended notice cookie consent "
@@ -42,9 +47,10 @@ CLUTTER_NAMES = frozenset(
 )
 CLUTTER_TAGS = frozenset("nav header footer aside form menu dialog button select label input".split())
 TAG_GROUPS = ["p", "div", "section", "article", "main", "li", "ul", "a", "h1", "h2", "span", "td", "b", "blockquote", "pre", "#text"]
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
-)
+# a tag with no < in it is read in one step; no attempt goes past the next <
+TAG = re.compile(r"</?([a-zA-Z][^\s/<>\"']*+)((?:[^<>\"']|\"[^<\"]*+\"|'[^<']*+')*+)>")
+NAME_OF_TAG = re.compile(r"</?([a-zA-Z][^\s/<>\"']*+)")
+PLAIN = re.compile(r"[^>\"']*+")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 BLANKS = re.compile(r"\s+")
@@ -60,48 +66,119 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+class Tokens:
+    """Tags of a page, found in time linear in its length, however malformed it is.
+
+    A tag ends at the first ``>`` outside quotes. Where a search for it fails, all places it came past outside quotes lead
+    nowhere either; they are remembered, so no later search walks there again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.dead: set[int] = set()  # stops (quotes, the end) from which no tag's end is reached
+        self.last = {q: page.rfind(q) for q in ">\"'"}
+        self.plain = (0, -1)  # between these two places stands no quote and no >
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag read from ``at`` on, or -1."""
+        page, passed = self.page, []
+        while at <= self.last[">"]:
+            if not self.plain[0] <= at <= self.plain[1]:
+                self.plain = (at, PLAIN.match(page, at).end())
+            stop = self.plain[1]
+            if page[stop] == ">":
+                return stop
+            passed.append(stop)
+            if stop in self.dead or stop >= self.last[page[stop]]:
+                break
+            at = page.index(page[stop], stop + 1) + 1
+        self.dead.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """Start and end of the next tag, its name, whether it is an end tag, its attributes; without a name for comments.
+
+        A ``<`` that opens no tag is text. Behind the last tag both places are the page's end.
+        """
+        page, start = self.page, at
+        while (start := page.find("<", start)) >= 0:
+            if m := TAG.match(page, start):
+                return start, m.end(), m[1].lower(), page[start + 1] == "/", m[2]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), None, False, ""
+            if m := NAME_OF_TAG.match(page, start):
+                end = self.end_of_tag(m.end())
+                if end >= 0:
+                    return start, end + 1, m[1].lower(), page[start + 1] == "/", page[m.end() : end]
+            elif page[start + 1 : start + 2] in ("!", "?") and start < self.last[">"]:
+                return start, page.index(">", start) + 1, None, False, ""
+            start += 1
+        return len(page), len(page), None, False, ""
+
+
+class OpenElements:
+    """The stack of open nodes, with the places of each tag and of blocks in it, so that no search walks the stack."""
+
+    def __init__(self):
+        self.stack, self.tags, self.places, self.blocks = [0], ["#root"], {}, []
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+        self.tags.append(tag)
+
+    def close_from(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.stack.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def innermost(self, *tags: str) -> int:
+        """Place of the innermost open node with one of the tags; 0, the root's, if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def innermost_block(self) -> int:
+        return self.blocks[-1] if self.blocks else 0
+
+
 def parse(page: str) -> list[Node]:
     """Nodes of a page in document order; the first is the root. Text runs are nodes ``#text``; raw elements and the head are left out."""
     nodes = [Node("#root", -1, 0, frozenset())]
-    stack = [0]
+    opened, tokens = OpenElements(), Tokens(page)
     at, end = 0, len(page)
     unclosed = set()
 
     def add(tag, names=frozenset(), text=""):
-        parent = stack[-1]
+        parent = opened.stack[-1]
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, names, text))
         nodes[parent].children.append(len(nodes) - 1)
         return len(nodes) - 1
 
     while at < end:
-        m = TOKEN.search(page, at)
-        start = m.start() if m else end
+        start, after, tag, closes, attributes = tokens.next(at)
         if start > at:
             run = page[at:start]
             if not run.isspace():
                 add("#text", text=run)
-            elif nodes[stack[-1]].children:
+            elif nodes[opened.stack[-1]].children:
                 add("#text", text=" ")
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+        at = after
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not any(nodes[k].tag == "p" for k in stack):
-                continue
+        if closes:
             # an end tag closes what it names; one of a block also what is open inside it
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCKS and nodes[stack[k]].tag in BLOCKS:
-                    break
+            place = opened.innermost(tag)
+            if place and (tag in BLOCKS or place > opened.innermost_block()):
+                opened.close_from(place)
             continue
         if tag in RAW:
-            if not m[3].endswith("/") and tag not in unclosed:
-                done = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not attributes.endswith("/") and tag not in unclosed:
+                done = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
                 if done:
                     at = done.end()
                 elif tag in TO_THE_END:
@@ -110,26 +187,25 @@ def parse(page: str) -> list[Node]:
                     unclosed.add(tag)
             continue
         if tag == "head":
-            done = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
+            done = None if tag in unclosed else re.compile(r"</head\s*+>|<body\b", re.I).search(page, at)
             if done:
                 at = done.end() if done[0].startswith("</") else done.start()
+            else:
+                unclosed.add(tag)
             continue
-        if tag in CLOSES_P and any(nodes[k].tag == "p" for k in stack):
-            inner = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag in BLOCKS), 0)
-            if nodes[stack[inner]].tag == "p":
-                del stack[inner:]
-        if tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
-            scope = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",)}.get(tag, ("table", "tbody"))
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in scope:
-                    break
-                if nodes[stack[k]].tag == tag or (tag in ("dd", "dt") and nodes[stack[k]].tag in ("dd", "dt")) or (tag in ("td", "th") and nodes[stack[k]].tag in ("td", "th")):
-                    del stack[k:]
-                    break
-        names = frozenset(NAME.findall(" ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[3])).lower())) if "=" in m[3] else frozenset()
+        if tag in CLOSES_P and opened.innermost("p"):
+            inner = opened.innermost_block()
+            if opened.tags[inner] == "p":
+                opened.close_from(inner)
+        if tag in SCOPES:
+            scope, alike = SCOPES[tag]
+            place = opened.innermost(*alike)
+            if place > opened.innermost(*scope):
+                opened.close_from(place)
+        names = frozenset(NAME.findall(" ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)).lower())) if "=" in attributes else frozenset()
         k = add(tag, names)
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(k)
+        if tag not in VOID and not attributes.endswith("/"):
+            opened.push(k, tag)
     return nodes
 
 

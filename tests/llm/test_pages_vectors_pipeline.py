@@ -3,6 +3,7 @@
 import random
 import re
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -61,6 +62,53 @@ def test_an_unclosed_element_does_not_end_the_page(tag):
     assert text("<p>a</p><script><p>b</p>") == "a"
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 100_000, "<a" * 100_000, "<a \"" * 60_000, "<a \"'<a \"" * 40_000 + ">", "<span>" * 60_000 + "</b>" * 60_000, "<div>" * 60_000, "<head>" * 60_000,
+    "<p><b>" * 40_000, "<span><div>" + "<b>" * 60_000 + "</span>" * 60_000, "<!x" * 60_000, "<" + "a" * 500_000, "</script " * 50_000, "<li>" * 60_000 + "<td>" * 60_000,
+])
+def test_malformed_pages_take_linear_time(page):
+    start = time.process_time()
+    nodes = html_article.parse(page)
+    html_article.block_text(nodes, np.ones(len(nodes), bool))
+    assert time.process_time() - start < 10  # walks of the stack or to the page's end at every < take minutes
+
+
+def test_tags_are_found_as_by_a_plain_reading():
+    """Against a reading that looks for the end of every tag by itself, with quotes and without any memory."""
+
+    def plain(page):
+        found, at = [], 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            end, name = None, re.match(r"</?([a-zA-Z][^\s/<>\"']*)", page[at:])
+            if name:
+                k, quote = at + name.end(), ""
+                while k < len(page) and (quote or page[k] != ">"):
+                    quote = ("" if page[k] == quote else quote) if quote else (page[k] if page[k] in "\"'" else "")
+                    k += 1
+                if k < len(page):
+                    end = k + 1
+                    found.append((at, end, name[1].lower(), page[at + 1] == "/", page[at + name.end() : k]))
+            elif page[at + 1 : at + 2] in ("!", "?") and page.find(">", at) >= 0:
+                end = page.find(">", at) + 1
+            at = end or at + 1
+        return found
+
+    rng = random.Random(8)
+    parts = ["<a ", "<p>", "</p>", "<b x='1'>", '<i y="<q>">', "text", " ", '"', "'", ">", "<", "<!-- c -->", "<!--", "<!x", "<?", "</", "<b", "<br/>", "/"]
+    for _ in range(5000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
+        tokens, found, at = html_article.Tokens(page), [], 0
+        while at < len(page):
+            start, at, tag, closes, attributes = tokens.next(at)
+            if tag is not None:
+                found.append((start, at, tag, closes, attributes))
+        assert found == plain(page), page
+
+
 def test_decoding_is_the_most_likely_labelling():
     nodes = html_article.parse("<div><p>a</p><b>b</b></div>c")
     rng = np.random.default_rng(4)
