@@ -63,9 +63,10 @@ def render_turns(
 
     Rows are ordered by turn, then role and text; NULLs come first, equal rows stay separate turns. NULL role and text
     count as empty. Rows with a NULL conversation form one conversation. ``span_start`` and ``span_end`` count characters
-    of the whole output. The loss span is where the turn's escaped text stands in its span, for the loss roles; it is the
-    last occurrence before the text's end mark, found by rendering the turn once more with an empty text. Both are NULL
-    where the template rewrites history. ``turns_alone`` says that the template renders every turn by itself, as the
+    of the whole output. The loss span is where the turn's escaped text stands in its span, for the loss roles: the place at
+    which a character strange to the output appears when the turn is rendered once more with it for a text, so equal
+    characters beside the text do not shift it. Both ends are NULL where the template rewrites history, and where the
+    escaped text does not stand from there on (a template that trims or changes it). ``turns_alone`` says that the template renders every turn by itself, as the
     marked template does; windows are then not checked.
     """
     if turns_alone is None:
@@ -75,6 +76,10 @@ def render_turns(
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     ).repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
 
+    def mark_outside(text: str) -> str:
+        """A character of the private use area that the text does not hold."""
+        return next(c for c in map(chr, itertools.chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in text)
+
     def common(a: str, b: str) -> int:
         low, high = 0, min(len(a), len(b))
         while low < high:
@@ -99,14 +104,12 @@ def render_turns(
             loss = who in loss_roles and not rewrites
             at = end = None
             if loss:
+                # the text stands where a character that no rendering so far holds appears in its place
                 body = escaped(what)
-                empty = template([*turns[:-1], (who, "")])[start:]
-                # the text stands where the rendering with an empty text parts from this one
-                at = common(empty, piece)
-                while at > 0 and piece[at : at + len(body)] != body:
-                    at -= 1
-                end = at + len(body)
-            yield (c, t, n, who, loss, piece, done, done + len(piece), done + at if loss else None, done + end if loss else None, rewrites), cut
+                mark = mark_outside(now)
+                at = piece.find(body, max(template([*turns[:-1], (who, mark)]).find(mark) - start, 0))
+                at, end = (at, at + len(body)) if at >= 0 else (None, None)
+            yield (c, t, n, who, loss, piece, done, done + len(piece), done + at if at is not None else None, done + end if end is not None else None, rewrites), cut
             n, done, before = n + 1, done + len(piece), now
 
     def agrees(said, found):

@@ -257,6 +257,22 @@ def test_chat_round_trip(spark):
         assert found[c].formatted_chars == len(chat_format.marked_turns(own))
 
 
+@pytest.mark.parametrize("before, after", [("<|im_start|>", "<|im_end|>"), (">", "<"), ("aa", "aa"), ("", "\ue000")])
+def test_loss_spans_stand_at_the_text(spark, before, after):
+    """Texts that begin or end like the marks beside them: places are compared, not only characters."""
+    said = ["<", "<<", "<|", ">", ">>", "a", "aaa", "", "\ue000", "x", "<|im_end|>"]
+    rows = [(1, i, "assistant", t, 0, "clash") for i, t in enumerate(said)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, loss_start int, rendered string")
+    template = lambda turns: "".join(f"{before}{t}{after}\n" for _, t in turns)
+    found = chat_format.render_turns(df, template, escaped=str).orderBy("n").collect()
+    assert [(r.loss_start - r.span_start, r.loss_end - r.loss_start) for r in found] == [(len(before), len(t)) for t in said]
+    marked = chat_format.render_turns(df).orderBy("n").collect()
+    opening = len(chat_format.START + "assistant\n")
+    assert [(r.loss_start - r.span_start, r.loss_end - r.loss_start) for r in marked] == [(opening, len(chat_format.escape(t))) for t in said]
+    trimmed = chat_format.render_turns(df.limit(1).withColumn("text", F.lit(" x ")), lambda turns: "".join(f"[{t.strip()}]" for _, t in turns), escaped=str).first()
+    assert trimmed.loss_start is None and trimmed.loss_end is None and trimmed.rendered == "[x]"
+
+
 def test_templates_that_rewrite_history_are_marked(spark):
     df = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(4)], "conv_id bigint, turn int, role string, text string")
 
