@@ -8,6 +8,12 @@ Merging all occurrences of the best pair at once equals merging them one by one
 pair that is as good or better. That is checked for each rank of the vocabulary; where it does not hold (runs of blanks,
 whose pieces all have one score), only the leftmost occurrence is merged in a round.
 
+A long word takes part in a round with many pairs, not with its best ones alone: a pair that is better than all pairs up
+to ``reach`` symbols to its left, and as good as all up to ``reach`` to its right, is merged as well. ``reach`` is twice the
+length of the longest piece. A symbol that grows into this stretch from outside ends in its outer half before the pair's
+own turn, and what follows from merging the pair stays in the inner half, so neither meets the other. The rounds of a word
+thus do not grow with its length, but for a word full of one pair whose merges follow from each other.
+
 The vocabulary's file is a parameter. The driver reads it once; its tables have a fixed size and travel with the task.
 """
 
@@ -47,6 +53,7 @@ class Vocabulary:
     piece_bytes: np.ndarray
     piece_start: np.ndarray
     spaces_split: bool
+    reach: int  # twice the characters of the longest piece
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; rank NONE if it is no piece."""
@@ -128,12 +135,37 @@ def load_vocabulary(model_file: str) -> Vocabulary:
     return Vocabulary(
         n, model.bos_id(), model.eos_id(), char_symbol, *hash_table(key, rank, to), careful, byte_id,
         np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)]),
-        not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in texts),
+        not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in texts), 2 * max(map(len, texts)),
     )
 
 
+def least_of_next(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of the ``n`` entries that follow each one; NONE stands behind the last."""
+    size, least, done = 1, np.r_[x[1:], NONE], 1
+    while done < n:
+        size = min(done, n - done)
+        least = np.minimum(least, np.r_[least[size:], np.full(min(size, len(x)), NONE, np.int32)][: len(x)])
+        done += size
+    return least
+
+
 def merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all words in one array, and where each word starts in it (one more entry than words)."""
+    long = np.fromiter(map(len, words), np.int64, len(words)) > 2 * v.reach
+    if not long.any() or long.all():
+        return merge_rounds(words, v, bool(long.any()))
+    parts = [merge_rounds([w for w, own in zip(words, long) if own == which], v, which) for which in (False, True)]
+    count = np.zeros(len(words), np.int64)
+    for which, (_, starts) in zip((False, True), parts):
+        count[long == which] = np.diff(starts)
+    symbols = np.empty(int(count.sum()), parts[0][0].dtype)
+    is_long = np.repeat(long, count)
+    symbols[~is_long], symbols[is_long] = parts[0][0], parts[1][0]
+    return symbols, np.r_[0, np.cumsum(count)]
+
+
+def merge_rounds(words: list[str], v: Vocabulary, many_a_word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The rounds of :func:`merge_words`; ``many_a_word`` merges the locally best pairs too, with the same result."""
     flat = "".join(words).replace(" ", SPACE)
     symbols = v.char_symbol[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)]
     word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
@@ -160,6 +192,10 @@ def merge_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray
             _, leftmost = np.unique(word[hits], return_index=True)
             take &= ~careful
             take[hits[leftmost]] = True
+        if many_a_word:
+            # the end of a word holds NONE, so stretches that go over it only see more pairs than need be
+            left, right = least_of_next(rank[::-1], v.reach)[::-1], least_of_next(rank, v.reach)
+            take |= (rank < left) & (rank <= right) & (rank != NONE) & ~chosen
         symbols = np.where(take, to, symbols)
         if over.any():
             done_symbols.append(symbols[over])

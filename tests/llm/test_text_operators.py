@@ -51,6 +51,28 @@ def test_bpe_equals_the_library(spark):
     assert bpe.digests(df.limit(0), "doc_id", "text", vocabulary_file()).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "etaoin", "aein", "ABCab-_/.=", "日本é▁the", "the"])
+def test_long_words_equal_the_library(letters):
+    import sentencepiece
+
+    rng = random.Random(letters)
+    reference = sentencepiece.SentencePieceProcessor(model_file=vocabulary_file())
+    vocabulary = bpe.load_vocabulary(vocabulary_file())
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(60, 900))) for _ in range(60)] + ["x " + letters * 40 + " y"]
+    ids, starts = bpe.Encoder(vocabulary).encode(pa.array(texts))
+    for t, a, b in zip(texts, starts, starts[1:]):
+        assert ids[a:b].tolist() == reference.encode(t, add_bos=True, add_eos=True)
+
+
+def test_a_very_long_word_takes_seconds():
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80_000))
+    vocabulary = bpe.load_vocabulary(vocabulary_file())
+    start = time.process_time()
+    bpe.merge_words([word], vocabulary)
+    assert time.process_time() - start < 5  # with one rank a round: over 15
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 2) for i in range(0, 40, 2)] + [(100, 7), (500, 500)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
