@@ -15,6 +15,7 @@ from ledgerloom.functions.fields import event_matches
 from ledgerloom.operators import aggregates as A
 from ledgerloom.operators import balances as B
 from ledgerloom.operators import completeness as C
+from ledgerloom.operators import continuity as N
 from ledgerloom.operators import filters as Q
 from ledgerloom.operators import messages as M
 from ledgerloom.operators import metrics as K
@@ -23,6 +24,7 @@ from ledgerloom.operators import writers as W
 from ledgerloom.plans import changelog as V
 from ledgerloom.plans import ingest as I
 from ledgerloom.plans import queries as P
+from ledgerloom.plans import reorg_search
 from ledgerloom.session import scratch_path
 from ledgerloom.sources import rpc, tables, topics
 from ledgerloom.streaming import entities, jobs, publish
@@ -440,6 +442,16 @@ def win_fork_point(fx):
     return forks.select("chain_id", "tip", "fork_block")
 
 
+@query
+def win_parent_link(fx):
+    return N.parent_links(fx.blocks, width=BUCKET_WIDTH)
+
+
+@query
+def win_cumulative_gas_check(fx):
+    return N.cumulative_gas(fx.receipts, width=2)
+
+
 # --- sorts, limits, gaps ----------------------------------------------------------------------------
 
 
@@ -529,11 +541,23 @@ def st_reorg_detect(fx):
     return R.detect(fx.blocks, fx.canonical, _tips(fx))
 
 
-@query
-def st_reorg_detect_node(fx):
+def _node_and_tips(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
     node = rpc.valid(rpc.light_blocks(rpc.read_landed(fx.spark, fx.land_light_blocks())))
     ahead = _tips(fx).selectExpr("chain_id + 3 as chain_id", "last_processed_block")  # a chain without stored blocks
-    return R.detect(fx.blocks, node, _tips(fx).unionByName(ahead.where("chain_id = 4")))
+    return node, _tips(fx).unionByName(ahead.where("chain_id = 4"))
+
+
+@query
+def st_reorg_detect_node(fx):
+    node, tips = _node_and_tips(fx)
+    return R.detect(fx.blocks, node, tips)
+
+
+@query
+def st_reorg_detect_tip(fx):
+    """The same decisions from the tip down, over block folders."""
+    node, tips = _node_and_tips(fx)
+    return reorg_search.detect_from_tip(reorg_search.reader(fx.blocks_by_bucket, BUCKET_WIDTH), reorg_search.reader(node), tips)
 
 
 @query

@@ -293,6 +293,10 @@ class Fixtures:
     def blocks(self) -> DataFrame:
         return self._chain_table("blocks", self._blocks(), S.BLOCKS, "block_hash")
 
+    @cached_property
+    def blocks_by_bucket(self) -> DataFrame:
+        return self._by_bucket("blocks", self._blocks(), S.BLOCKS, "block_hash")
+
     @cached_property
     def transactions(self) -> DataFrame:
         return self._chain_table("transactions", self._transactions(), S.TRANSACTIONS, "tx_index")

@@ -438,13 +438,21 @@ _add("st_reorg_detect", """
 select chain_id, max(block_number) as tip, 'reorg' as status,
   max(case when same then block_number end) + 1 as from_block,
   max(case when same then block_number end) as last_processed_block from cmp group by chain_id""")
-_add("st_reorg_detect_node", """
+_NODE = """
 select chain_id, max(block_number) as tip,
   case chain_id when 1 then 'ok' when 2 then 'reorg' else 'unavailable' end as status,
   case when chain_id = 2 then max(block_number) filter (where block_number < 2300) + 1 end as from_block,
   case when chain_id = 2 then max(block_number) filter (where block_number < 2300)
     else max(block_number) end as last_processed_block from bl group by chain_id
-union all select 4, max(block_number), 'unchecked', null, max(block_number) from bl where chain_id = 1""")
+union all select 4, max(block_number), 'unchecked', null, max(block_number) from bl where chain_id = 1"""
+_add("st_reorg_detect_node", _NODE)
+_add("st_reorg_detect_tip", _NODE)
+_add("win_parent_link", """
+select b.chain_id, b.block_number, lower(p.block_hash) = lower(b.parent_hash) as linked
+from bl b left join bl p on p.chain_id = b.chain_id and p.block_number = b.block_number - 1""")
+_add("win_cumulative_gas_check", """
+select chain_id, block_number, tx_index, tx_hash, gas_sum, gas_sum = cumulative_gas_used as agrees
+from (select *, cast(sum(gas_used) over (partition by chain_id, block_number order by tx_index) as bigint) as gas_sum from rc)""")
 _add("st_watermark", "select * from wm")
 _add("st_balance_incremental", f"""
 select chain_id, {_word('user_id', 40)} as address, cast(sum(cents) as varchar) as balance
