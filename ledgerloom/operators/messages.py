@@ -44,13 +44,51 @@ def _strict_types() -> str:
     return f'"(?:{"|".join(parts)})'
 
 
+# A brace closes before the text does: the message holds an object, or something follows it.
+_INNER_BRACE = r"\}\s*+\S"
+
+
+def _top_level() -> str:
+    """SQL of the message as a VARIANT, NULL if the text is not exactly one JSON value.
+
+    The parser stops where the first value ends, so the text is parsed as the first of two elements; the second, a hash of
+    the text, must come out as the last one. A field name that occurs twice in an object makes the value NULL.
+    """
+    both = "try_cast(try_parse_json(concat('[', raw, ',\"', sha2(raw, 256), '\"]')) as array<variant>)"
+    return f"get(get(filter(array({both}), a -> size(a) = 2 and try_variant_get(get(a, 1), '$', 'string') = sha2(raw, 256)), 0), 0)"
+
+
+def _wrong_top_level(name: str, kind: str) -> str:
+    """SQL that is true if a field of the VARIANT ``v`` has a JSON type the envelope does not allow."""
+    found = f"try_variant_get(v, '$.{name}', 'variant')"
+    found_type = f"schema_of_variant({found})"
+    right = {
+        "string": f"{found_type} = 'STRING'",
+        "bool": f"{found_type} = 'BOOLEAN'",
+        # 1.0 is a decimal as well; only whole numbers beyond BIGINT have as many digits
+        "uint": f"({found_type} = 'BIGINT' and try_variant_get(v, '$.{name}', 'bigint') >= 0) or {found_type} in ('DECIMAL(19,0)', 'DECIMAL(20,0)')",
+        "array": f"startswith({found_type}, 'ARRAY') and forall(try_cast({found} as array<variant>), x -> coalesce(schema_of_variant(x), 'VOID') in ('STRING', 'VOID'))",
+    }
+    return f"({found} is not null and {found_type} <> 'VOID' and not coalesce({right[kind]}, false))"
+
+
+def _nested_fault() -> str:
+    """SQL of what is wrong with a message that has a brace inside; NULL if nothing is."""
+    wrong = " or ".join(_wrong_top_level(name, kind) for name, kind in S.ENVELOPE_FIELDS)
+    return f"get(transform(array({_top_level()}), v -> case when v is null then '{MALFORMED}' when {wrong} then '{BAD_FIELD}' end), 0)"
+
+
 def decode(raw: DataFrame, seq: Column | str = "offset") -> DataFrame:
     """Changelog rows of raw messages.
 
     Envelope columns are never NULL: an absent field is zero, '' or false. The message
     coordinates become ``topic, partition, offset, message_time, bytes``; ``seq`` orders
     the messages of a chain (see ``arrival_order`` for topics with several partitions).
-    ``kind`` is the message type or ``dead_letter``; dead letters keep ``raw``.
+    ``kind`` is the message type or ``dead_letter``; dead letters keep ``raw``. Unknown fields are ignored, whatever they
+    hold; text after the message makes it malformed.
+
+    Flat messages, all that writers of this format make, are judged by patterns over the text. A message with a brace
+    inside is parsed once more into a VARIANT, which tells fields of the message from those of objects in it.
     """
     order = F.col(seq) if isinstance(seq, str) else seq
     text = F.col("value").cast("string")
@@ -69,7 +107,9 @@ def decode(raw: DataFrame, seq: Column | str = "offset") -> DataFrame:
         ["*"],
         [
             F.from_json("raw", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("m"),
-            F.col("raw").rlike(_strict_types()).alias("wrong_type"),
+            F.when(F.col("raw").rlike(_INNER_BRACE), F.expr(_nested_fault()))
+            .when(F.col("raw").rlike(_strict_types()), BAD_FIELD)
+            .alias("fault"),
         ],
     )
     uints = [F.col(f"m.`{n}`") for n in S.envelope_fields("uint")]
@@ -78,10 +118,11 @@ def decode(raw: DataFrame, seq: Column | str = "offset") -> DataFrame:
         F.when(
             F.col("raw").isNull()
             | ~(trimmed.startswith("{") & trimmed.endswith("}"))
-            | F.col("m").isNull(),
+            | F.col("m").isNull()
+            | F.coalesce(F.col("fault") == MALFORMED, F.lit(False)),
             MALFORMED,
         )
-        .when(F.col("wrong_type"), BAD_FIELD)
+        .when(F.col("fault") == BAD_FIELD, BAD_FIELD)
         .when(F.greatest(*uints) > F.lit(S.MAX_BIGINT), OUT_OF_RANGE)
         .when(F.col("m._corrupt").isNotNull(), MALFORMED)
         .when(F.coalesce(F.col("m.type"), F.lit("")) == "", MISSING_TYPE)

@@ -25,6 +25,22 @@ def raw(spark, values, partition=0):
         ("null", M.MALFORMED),
         ('[{"type":"log","chain_id":1}]', M.MALFORMED),
         ('{"type":"log","chain_id":1} x', M.MALFORMED),
+        ('{"type":"log","chain_id":1}{}', M.MALFORMED),
+        ('{"type":"log","chain_id":1}}', M.MALFORMED),
+        ('{"type":"log","chain_id":1},{"type":"log","chain_id":1}', M.MALFORMED),
+        ('{"type":"log","chain_id":1}],[{}', M.MALFORMED),
+        ('{"type":"log","chain_id":1,"x":{}', M.MALFORMED),
+        ('{"type":"log","chain_id":1,"x":{}} y', M.MALFORMED),
+        ('{"type":"log","chain_id":"1","x":{}}', M.BAD_FIELD),
+        ('{"type":"log","chain_id":{"chain_id":1}}', M.BAD_FIELD),
+        ('{"type":"log","chain_id":1,"x":{},"nonce":1.0}', M.BAD_FIELD),
+        ('{"type":"log","chain_id":1,"x":{},"nonce":-1}', M.BAD_FIELD),
+        ('{"type":"log","chain_id":1,"x":{},"nonce":1e2}', M.BAD_FIELD),
+        ('{"type":"log","chain_id":1,"x":{},"removed":"true"}', M.BAD_FIELD),
+        ('{"type":"log","chain_id":1,"topics":["a",{"b":1}]}', M.BAD_FIELD),
+        ('{"x":{},"type":"block","chain_id":1,"block_number":18446744073709551615}', M.OUT_OF_RANGE),
+        ('{"x":{"type":"log"},"chain_id":1}', M.MISSING_TYPE),
+        ('{"type":"log","x":{"chain_id":1}}', M.MISSING_CHAIN),
         ('{"chain_id":1}', M.MISSING_TYPE),
         ('{"type":"","chain_id":1}', M.MISSING_TYPE),
         ('{"type":"log"}', M.MISSING_CHAIN),
@@ -55,6 +71,9 @@ def test_dead_letters(spark, text, reason):
         '{"type":"log","chain_id":1,"block_number":null,"data":null,"topics":null,"removed":null}',
         '{"type":"log","chain_id":1,"reason":"\\"chain_id\\":\\"x\\"","topics":["a\\"b",null,"c"]}',
         '{"type":"log","chain_id":1,"something_else":{"a":[1]}}',
+        '{"type":"log","chain_id":1,"block_number":0,"meta":{"status":"ok","type":5,"topics":7}}',
+        '{"meta":[{"chain_id":"x"},{"removed":"y"}],"type":"log","chain_id":1,"data":"}{","topics":["a",null]} ',
+        '{"type":"log","chain_id":1,"data":"} x","reason":"{\\"type\\":5}{}"}',
     ],
 )
 def test_accepted_messages(spark, text):
