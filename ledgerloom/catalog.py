@@ -99,6 +99,17 @@ def src_rpc_logs(fx):
     return _text_topics(rpc.valid(rpc.logs(rpc.read_landed(fx.spark, fx.land_logs()))))
 
 
+@query
+def src_rpc_refused(fx):
+    """Responses with a part that cannot be read: neither their other parts nor they themselves are lost from sight."""
+    blocks = rpc.refused_blocks(rpc.read_landed(fx.spark, fx.land_blocks()))
+    logs = rpc.refused_logs(rpc.read_landed(fx.spark, fx.land_logs()))
+    return _union([
+        df.select(F.lit(name).alias("source"), "chain_id", "status", "bad_parts", F.size(parts).cast("bigint").alias("n_parts"))
+        for name, df, parts in (("blocks", blocks, "result.transactions"), ("logs", logs, "result"))
+    ])
+
+
 @query
 def src_rpc_light_blocks(fx):
     return rpc.valid(rpc.light_blocks(rpc.read_landed(fx.spark, fx.land_light_blocks())))
@@ -581,6 +592,25 @@ def st_dedupe(fx):
     return fx.deliveries.dropDuplicates(S.LOG_KEY).select(*S.LOG_KEY)
 
 
+#: source of the deliveries in a wave, hours of its event time: repeats, late rows, and repeats after their state expired
+WAVES = (("A", 0), ("N", 1), ("R", 10), ("R", 2), ("A", 11))
+
+
+@query
+def st_dedupe_stream(fx):
+    """Logs that the stream operator lets through, wave by wave over one checkpoint."""
+    source, out, offsets = (scratch_path(fx.spark, name) for name in ("waves", "deduped", "offsets"))
+    keys = fx.deliveries.select("source", *S.LOG_KEY)
+    shape = keys.withColumn("message_time", X.processed_at()).schema
+    for name, hours in WAVES:
+        wave = keys.where(F.col("source") == name)
+        wave.withColumn("message_time", X.processed_at() + F.make_dt_interval(hours=F.lit(hours))).write.mode("append").parquet(source)
+        rows = fx.spark.readStream.schema(shape).parquet(source)
+        job = jobs.dedupe_stream(rows, "90 minutes").writeStream.format("parquet").option("checkpointLocation", offsets)
+        job.trigger(availableNow=True).start(out).awaitTermination()
+    return fx.spark.read.schema(shape).parquet(out).select(*S.LOG_KEY)
+
+
 @query
 def st_replay(fx):
     again = V.replayed(fx.changelog, 2, 300)

@@ -49,6 +49,8 @@ _CENTS_HEX = (
 _TOPIC0 = (
     "concat('0x', repeat(case l_returnflag when 'A' then 'aa' when 'N' then 'bb' else 'cc' end, 32))"
 )
+#: orders of which the first part of a node's response cannot be read
+BAD_PART = "o_orderkey % 97 = 5"
 _LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 
@@ -351,7 +353,7 @@ class Fixtures:
         )
 
     def land_blocks(self) -> str:
-        """One block response per order, its lines as transactions; some fail or are not there."""
+        """One block response per order, its lines as transactions; some fail, are not there or hold a bad nonce."""
         lines = self._lines_per_order(f"{_CENTS_HEX} as cents")
         joined = self.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         transaction = (
@@ -361,7 +363,8 @@ class Fixtures:
             "concat('0x', lpad(hex(l.l_suppkey), 40, '0')) as `from`, "
             "case when l.l_linenumber < 7 then concat('0x', lpad(hex(l.l_partkey), 40, '0')) end as `to`, "
             "concat('0x', l.cents) as value, "
-            f"{_hex('cast(l.l_linenumber as bigint)')} as nonce, {_hex('21000 + l.l_partkey')} as gas, "
+            f"case when i = 0 and {BAD_PART} then '0xZZ' else {_hex('cast(l.l_linenumber as bigint)')} end as nonce, "
+            f"{_hex('21000 + l.l_partkey')} as gas, "
             f"case when l.l_linenumber = 1 then '0x' else {_hex('l.l_partkey')} end as gasPrice, "
             "'0xAb' as input, case when l.l_linenumber = 2 then '' else '0x2' end as type)"
         )
@@ -419,14 +422,15 @@ class Fixtures:
         return self._land("node-receipts", self.orders.selectExpr("chain_id", f"{value} as value"))
 
     def land_logs(self) -> str:
-        """One log response per order: an array, empty for an order without lines."""
+        """One log response per order: an array, empty for an order without lines; some hold a log without an index."""
         lines = self._lines_per_order(f"{_CENTS_HEX} as cents, {_TOPIC0} as topic0, l_linestatus as status")
         joined = self.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         log = (
             "struct(concat('0x', lpad(hex(l.l_suppkey), 40, '0')) as address, "
             "array(l.topic0, concat('0x', lpad(hex(l.l_partkey), 64, '0'))) as topics, "
             f"concat('0x', l.cents) as data, {_hex('block_number')} as blockNumber, "
-            f"upper(block_hash) as blockHash, tx_hash as transactionHash, {_hex('tx_index * 1024 + i')} as logIndex, "
+            "upper(block_hash) as blockHash, tx_hash as transactionHash, "
+            f"case when i = 0 and {BAD_PART} then '' else {_hex('tx_index * 1024 + i')} end as logIndex, "
             "l.status = 'F' as removed)"
         )
         value = (

@@ -23,6 +23,7 @@ CHUNKS = 6
 LIMB_BITS = 24
 LIMBS = 11
 _LIMB_MASK = (1 << LIMB_BITS) - 1
+BIGINT_DIGITS = "[0-7][0-9a-fA-F]{15}|[0-9a-fA-F]{1,15}"
 
 LIMB_COLUMNS = [f"limb_{k}" for k in range(LIMBS)]
 CHUNK_COLUMNS = [f"chunk_{j}" for j in range(CHUNKS)]
@@ -46,9 +47,15 @@ def has_digits_sql(text: str, digits: str) -> str:
     return f"({text} rlike '^(0x)?0*({digits})$')"
 
 
+def fits_bigint_sql(text: str, optional: bool = False) -> str:
+    """Whether :func:`hex_to_bigint_sql` has a value; never NULL."""
+    fits = f"coalesce({has_digits_sql(text, BIGINT_DIGITS)}, false)"
+    return f"(coalesce({text}, '') = '' or {fits})" if optional else fits
+
+
 def hex_to_bigint_sql(text: str, optional: bool = False) -> str:
     """BIGINT value; NULL when empty, malformed or above 2^63-1. ``optional`` maps ''/NULL to 0."""
-    fits = has_digits_sql(text, "[0-7][0-9a-fA-F]{15}|[0-9a-fA-F]{1,15}")
+    fits = has_digits_sql(text, BIGINT_DIGITS)
     zero = f"when coalesce({text}, '') = '' then 0L " if optional else ""
     return f"(case {zero}when {fits} then cast(conv({strip_0x_sql(text)}, 16, 10) as bigint) end)"
 
@@ -97,6 +104,12 @@ def horner_text_sql(places: str) -> str:
     )
 
 
+def fits_decimal_sql(text: str) -> str:
+    """Whether :func:`hex_to_decimal_sql` has a value; never NULL."""
+    fits = has_digits_sql(text, "[0-9a-fA-F]{1,64}")
+    return f"(coalesce({text}, '') in ('', '0x') or coalesce({fits}, false))"
+
+
 def hex_to_decimal_sql(text: str) -> str:
     """Decimal text of a hex number up to 256 bits; NULL/''/'0x' give '0', malformed gives NULL.
 

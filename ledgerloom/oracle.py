@@ -219,13 +219,16 @@ _NODE_OK = (
     "and not (o_orderstatus = 'P' and o_orderpriority in ('2-HIGH', '3-MEDIUM'))"
 )
 
+#: orders of which the first part of a node's response cannot be read
+_BAD_PART = "o_orderkey % 97 = 5"
+
 # --- sources -----------------------------------------------------------------------------------
 _add("src_rpc_blocks", f"""
 select chain_id, o_orderkey as block_number, lower(block_hash) as block_hash, block_hash as parent_hash,
   cast(788918400 + block_number * 86400 as bigint) as timestamp, cast(30000000 as bigint) as gas_limit,
   cast(21000 + o_orderkey % 5000 as bigint) as gas_used, coalesce(n, 0) as tx_count
 from o left join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey
-where {_NODE_OK}""")
+where {_NODE_OK} and not ({_BAD_PART} and coalesce(n, 0) > 0)""")
 _add("src_rpc_transactions", f"""
 select chain_id, {_word('o_orderkey * 1024 + seq - 1')} as tx_hash, ln.o_orderkey as block_number, block_hash,
   seq - 1 as tx_index, {_word('l_suppkey', 40)} as from_addr,
@@ -234,7 +237,8 @@ select chain_id, {_word('o_orderkey * 1024 + seq - 1')} as tx_hash, ln.o_orderke
   cast(21000 + l_partkey as bigint) as gas,
   case when l_linenumber = 1 then '0' else cast(l_partkey as varchar) end as gas_price, '0xAb' as input,
   cast(case when l_linenumber = 2 then 0 else 2 end as bigint) as tx_type
-from ln join (select o_orderkey as k, o_orderstatus, o_orderpriority from orders) on k = o_orderkey where {_NODE_OK}""")
+from ln join (select o_orderkey as k, o_orderstatus, o_orderpriority from orders) on k = o_orderkey
+where {_NODE_OK} and not {_BAD_PART}""")
 _add("src_rpc_receipts", f"""
 select chain_id, tx_hash, block_number, block_hash, tx_index,
   cast(case o_orderstatus when 'O' then 1 else 0 end as bigint) as status,
@@ -245,7 +249,11 @@ select chain_id, tx_hash, block_number, block_hash, tx_index,
 _add("src_rpc_logs", f"""
 select chain_id, block_number, block_hash, tx_hash, (l_orderkey // 3) * 1024 + seq - 1 as log_index,
   {_word('l_suppkey', 40)} as address, '0x' || {_CENTS_HEX} as data,
-  {_TOPIC0} || ',' || {_upper_word('l_partkey')} as topics, l_linestatus = 'F' as removed from ln""")
+  {_TOPIC0} || ',' || {_upper_word('l_partkey')} as topics, l_linestatus = 'F' as removed from ln where not {_BAD_PART}""")
+_add("src_rpc_refused", f"""
+select source, chain_id, 'invalid' as status, cast(1 as bigint) as bad_parts, n_parts
+from o join (select l_orderkey, count(*) as n_parts from lineitem group by 1) on l_orderkey = o_orderkey,
+  (values ('blocks'), ('logs')) s(source) where {_BAD_PART} and (source = 'logs' or {_NODE_OK})""")
 _add("src_rpc_light_blocks", """
 select chain_id, block_number, parent_hash, case when chain_id = 2 and block_number >= 2300
   then '0x' || sha256(block_hash) else block_hash end as block_hash
@@ -458,6 +466,9 @@ _add("st_balance_incremental", f"""
 select chain_id, {_word('user_id', 40)} as address, cast(sum(cents) as varchar) as balance
 from curlog where cents <> 0 group by 1, 2""")
 _add("st_dedupe", "select distinct chain_id, block_hash, block_number, tx_hash, log_index from dl")
+_add("st_dedupe_stream", """
+select distinct chain_id, block_hash, block_number, tx_hash, log_index from dl
+union all select distinct chain_id, block_hash, block_number, tx_hash, log_index from dl where source = 'A'""")
 _add("st_replay", """
 select chain_id, block_number, block_hash, parent_hash, 1704067200 + block_number as timestamp,
   30000000::bigint as gas_limit, cents as gas_used, seq % 10 as tx_count from curblock""")

@@ -1,7 +1,9 @@
 """Landed node responses: one JSON response per line, numbers as hex text.
 
 The chain of a response is not part of it; the landing folder or a column names it.
-Readers keep rows they cannot use with a status instead of failing the job.
+A response is taken or refused as a whole: one with a part that cannot be read gives no
+transaction or log, and :func:`refused_blocks` or :func:`refused_logs` lists it, so nothing
+vanishes unseen. Rows of blocks and receipts are told apart by :func:`valid` and :func:`invalid`.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from ledgerloom import schemas as S
 from ledgerloom.functions.once import compute_once
-from ledgerloom.functions.hexnum import hex_to_bigint_sql, hex_to_decimal_sql
+from ledgerloom.functions.hexnum import fits_bigint_sql, fits_decimal_sql, hex_to_bigint_sql, hex_to_decimal_sql
 
 # --- fixed values: response status ---------------------------------------------------------
 OK = "ok"
@@ -101,15 +103,61 @@ def _ready(landed: DataFrame, result: T.DataType, probe: str | None) -> DataFram
     return envelope(landed, result, probe).where(F.col("status") == OK)
 
 
+def _whole(landed: DataFrame, result: T.DataType, probe: str | None, bad_parts: str) -> DataFrame:
+    """Usable responses without bad parts.
+
+    ``bad_parts`` counts them inside the response, so no row carries an id back to it and
+    nothing is shuffled or joined; a part's numbers are matched here and parsed once later.
+    """
+    return _ready(landed, result, probe).where(F.expr(bad_parts) == 0)
+
+
+def _bad(parts: str, unfit: list[str]) -> str:
+    """How many elements of an array fail one of the tests on ``x``; null elements are bad."""
+    return f"size(filter(coalesce({parts}, array()), x -> x is null or not ({' and '.join(unfit)})))"
+
+
+_TX_FITS = [
+    *[fits_bigint_sql(f"x.{n}", optional=True) for n in ("transactionIndex", "nonce", "gas", "type")],
+    *[fits_decimal_sql(f"x.{n}") for n in ("value", "gasPrice")],
+]
+_BLOCK_FITS = [fits_bigint_sql(f"result.{n}") for n in ("number", "timestamp", "gasLimit", "gasUsed")]
+BAD_TRANSACTIONS = _bad("result.transactions", _TX_FITS)
+BAD_IN_BLOCK = f"({BAD_TRANSACTIONS} + if({' and '.join(_BLOCK_FITS)}, 0, 1))"
+BAD_IN_LOGS = _bad("result", [fits_bigint_sql("x.blockNumber"), fits_bigint_sql("x.logIndex")])
+
+
+def refused_blocks(landed: DataFrame) -> DataFrame:
+    """(chain_id, status, bad_parts, result) of block responses with bad parts, the block's own numbers as one."""
+    return _refused(landed, S.RPC_BLOCK, "hash", BAD_IN_BLOCK)
+
+
+def refused_logs(landed: DataFrame) -> DataFrame:
+    """The same of log responses, for :func:`logs`."""
+    return _refused(landed, S.RPC_LOGS, None, BAD_IN_LOGS)
+
+
+def _refused(landed: DataFrame, result: T.DataType, probe: str | None, bad_parts: str) -> DataFrame:
+    counted = compute_once(
+        _ready(landed, result, probe), ["chain_id", "result"], [F.expr(bad_parts).alias("bad_parts")]
+    )
+    return counted.where("bad_parts > 0").select(
+        "chain_id", F.lit(INVALID).alias("status"), F.col("bad_parts").cast("bigint"), "result"
+    )
+
+
 def _rows(df: DataFrame, columns: list[Column]) -> DataFrame:
     """Parsed columns beside the chain; hex is parsed once even when rows are filtered on it."""
     return compute_once(df, ["chain_id"], columns)
 
 
 def blocks(landed: DataFrame) -> DataFrame:
-    """Block rows. ``tx_count`` is the length of the transaction array."""
+    """Block rows of responses whose transactions are all sound. ``tx_count`` is the length of the transaction array.
+
+    A block whose own numbers are bad stays a row of :func:`invalid`; its transactions are refused.
+    """
     return _rows(
-        _ready(landed, S.RPC_BLOCK, "hash"),
+        _whole(landed, S.RPC_BLOCK, "hash", BAD_TRANSACTIONS),
         [
             _uint("result.number", "block_number"),
             _lower("result.hash", "block_hash"),
@@ -144,8 +192,8 @@ def heads(landed: DataFrame) -> DataFrame:
 
 
 def transactions(landed: DataFrame) -> DataFrame:
-    """Transaction rows; number and hash of the block come from the enclosing block."""
-    exploded = _ready(landed, S.RPC_BLOCK, "hash").select(
+    """Transaction rows of whole responses; number and hash of the block come from the enclosing block."""
+    exploded = _whole(landed, S.RPC_BLOCK, "hash", BAD_IN_BLOCK).select(
         "chain_id",
         F.col("result.number").alias("number"),
         F.col("result.hash").alias("block"),
@@ -189,8 +237,8 @@ def receipts(landed: DataFrame) -> DataFrame:
 
 
 def logs(landed: DataFrame) -> DataFrame:
-    """Log rows of array responses; block number and index are mandatory."""
-    exploded = _ready(landed, S.RPC_LOGS, None).select("chain_id", F.explode("result").alias("l"))
+    """Log rows of whole array responses; block number and index are mandatory."""
+    exploded = _whole(landed, S.RPC_LOGS, None, BAD_IN_LOGS).select("chain_id", F.explode("result").alias("l"))
     return _rows(
         exploded,
         [

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
+from ledgerloom.functions import hexnum
 from ledgerloom.operators import completeness as C
 from ledgerloom.operators import filters as Q
 from ledgerloom.plans import ingest as I
@@ -96,9 +97,40 @@ def test_receipts(spark):
 def test_logs(spark):
     log = {"address": "0xA", "topics": ["0x1"], "data": "0x", "blockNumber": "0x1", "blockHash": "0xB",
            "transactionHash": "0xT", "logIndex": "0x0", "removed": True}
-    df = landed(spark, {"result": [log, {**log, "logIndex": ""}]}, {"result": []})
-    assert rpc.valid(rpc.logs(df)).count() == 1 and rpc.invalid(rpc.logs(df)).count() == 1
-    assert rpc.envelope(df, S.RPC_LOGS, None).where("status = 'ok'").count() == 2
+    df = landed(spark, {"result": [log]}, {"result": [log, {**log, "logIndex": ""}, None]}, {"result": []})
+    assert rpc.logs(df).count() == rpc.valid(rpc.logs(df)).count() == 1
+    refused = rpc.refused_logs(df).collect()
+    assert [(r.status, r.bad_parts, len(r.result)) for r in refused] == [("invalid", 2, 3)]
+    assert rpc.envelope(df, S.RPC_LOGS, None).where("status = 'ok'").count() == 3
+
+
+@pytest.mark.parametrize("field, bad", [
+    ("nonce", "0xzz"), ("gas", "0x8000000000000000"), ("value", "0x" + "f" * 65), ("gasPrice", "12g"), ("type", "0x"),
+    ("transactionIndex", "-1"),
+])
+def test_a_bad_transaction_refuses_its_block(spark, field, bad):
+    sound = {"hash": "0xT", "from": "0xF", "to": None, "value": "0x1", "nonce": "0x0", "gas": "0x5208", "gasPrice": "0x"}
+    df = landed(spark, {"result": {**BLOCK, "transactions": [sound]}}, {"result": {**BLOCK, "transactions": [sound, {**sound, field: bad}, sound]}})
+    assert rpc.blocks(df).count() == 1
+    assert rpc.transactions(df).count() == rpc.valid(rpc.transactions(df)).count() == 1
+    assert [(r.bad_parts, len(r.result.transactions)) for r in rpc.refused_blocks(df).collect()] == [(1, 3)]
+
+
+def test_a_block_with_bad_numbers_gives_no_transactions(spark):
+    df = landed(spark, {"result": {**BLOCK, "number": ""}}, {"result": {**BLOCK, "gasUsed": "x", "transactions": None}})
+    assert rpc.transactions(df).count() == 0 and rpc.invalid(rpc.blocks(df)).count() == 2
+    assert [r.bad_parts for r in rpc.refused_blocks(df).collect()] == [1, 1]
+
+
+def test_fitting_hex_is_what_parses(spark):
+    texts = [None, "", "0x", "0", "0x0", "0x00ff", "7" + "f" * 15, "8" + "0" * 15, "0x" + "f" * 64, "f" * 65, "0X1", " 1", "g"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(
+        *(f"{fits} = ({value} is not null) as c{i}" for i, (fits, value) in enumerate([
+            (hexnum.fits_bigint_sql("t"), hexnum.hex_to_bigint_sql("t")),
+            (hexnum.fits_bigint_sql("t", optional=True), hexnum.hex_to_bigint_sql("t", optional=True)),
+            (hexnum.fits_decimal_sql("t"), hexnum.hex_to_decimal_sql("t")),
+        ])))
+    assert all(all(r) for r in rows.collect())
 
 
 def test_parses_once(spark):
