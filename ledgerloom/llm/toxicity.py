@@ -149,36 +149,58 @@ def bucket_counts(sample: DataFrame, most: int, least_z: float) -> np.ndarray:
     return np.sort(np.array(strongest(sample.mapInArrow(count_grams, "at bigint, p bigint, u bigint"), most), np.int64).view(np.uint64))
 
 
+def gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, beta: float = 0.0) -> np.ndarray:
+    """Gradient of the non-negative PU risk at the weights ``w`` (bias last); of the negatives' risk upwards while that is below -beta."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    z_p, z_u = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    g_p, g_p_neg, g_u = -sigmoid(-z_p) / len(p), sigmoid(z_p) / len(p), sigmoid(z_u) / len(u)
+    negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    over = lambda x, g: np.r_[g @ x, g.sum()].astype(w.dtype)
+    rest = over(u, g_u) - prior * over(p, g_p_neg)
+    return prior * over(p, g_p) + rest if negative >= -beta else -rest
+
+
 def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int, steps: int = 300, rate: float = 0.1, decay: float = 2e-5, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """A linear classifier of least non-negative PU risk, by Adam on random halves of both sets."""
     random = np.random.default_rng(seed)
     w, m, s = (np.zeros(x_p.shape[1] + 1, np.float32) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         p = x_p[random.integers(0, len(x_p), max(1, len(x_p) // 2))]
         u = x_u[random.integers(0, len(x_u), max(1, len(x_u) // 2))]
-        z_p, z_u = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        g_p, g_p_neg, g_u = -sigmoid(-z_p) / len(p), sigmoid(z_p) / len(p), sigmoid(z_u) / len(u)
-        negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        over = lambda x, g: np.r_[g @ x, g.sum()].astype(np.float32)
-        grad = prior * over(p, g_p)
-        rest = over(u, g_u) - prior * over(p, g_p_neg)
-        grad = grad + rest if negative >= -beta else -rest
+        grad = gradient(w, p, u, prior, beta)
         grad[:-1] += decay * w[:-1]
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def drawn(rows: DataFrame, name: str, bound: int, have: int = 0) -> DataFrame:
+    """(text) of at most ``bound`` different rows of (key, text), those of the least hashes.
+
+    Rows are chosen one by one, not by key: a key or a copy that repeats without end counts as its different texts do.
+    ``have`` rows at least are thinned before they are shuffled. What is drawn is written, so one number reaches the driver.
+    """
+    h = F.xxhash64(F.lit(7), "key", "text")
+    if have > bound:
+        rows = rows.where(F.pmod(h, F.lit(1 << 24)) < int((1 << 24) * bound / have))
+    kept = landed(rows.select("key", "text").distinct().select("text", F.pmod(h, F.lit(1 << 24)).alias("part"), h.alias("h")), name)
+    order = ["part", "h"]
+    if kept.count() > bound:
+        last = kept.select(*order).orderBy(*order).limit(bound).agg(F.max(F.struct(*order))).first()[0]
+        kept = kept.where((F.col("part") < last.part) | ((F.col("part") == last.part) & (F.col("h") <= last.h)))
+    return kept.select("text")
+
+
 def train(
     documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
     fold: int = 2, folds: int = 4, max_positive: int = 2_000, max_unlabelled: int = 5_000, max_features: int = 768, classifiers: int = 3, least_z: float = 4.5,
 ) -> Model:
-    """Fit classifiers on rows outside the held-out fold: about ``max_positive`` and ``max_unlabelled`` of them at most.
+    """Fit classifiers on rows outside the held-out fold: ``max_positive`` and ``max_unlabelled`` of them at most.
 
     The prior is the share of toxic rows among the labelled ones. NULL labels and keys are left out; several labels of
-    one key count once, as toxic if any says so. Without positives the model scores every text 0.
+    one key count once, as toxic if any says so. Rows that repeat count once, several texts of a key each by itself, within
+    the same bounds. Without positives the model scores every text 0.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (crc_bucket(key, folds) != fold))
     usable = usable.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("positive"))
@@ -189,9 +211,9 @@ def train(
     prior = min(max(counted[1] / counted[0], 0.001), 0.9)
     chosen = sampled(usable.where("positive = 1"), "key", counted[1], max_positive).select("key")
     # the sample of keys is bounded, so the side that is broadcast is
-    positives = docs.join(F.broadcast(chosen), "key", "left_semi").select("text", F.lit(1).alias("positive"))
-    unlabelled = sampled(docs, "key", documents.count(), max_unlabelled).select("text", F.lit(0).alias("positive"))
-    sample = landed(positives.unionByName(unlabelled), "toxicity-sample")
+    positives = drawn(docs.join(F.broadcast(chosen), "key", "left_semi"), "toxicity-positives", max_positive)
+    unlabelled = drawn(docs, "toxicity-unlabelled", max_unlabelled, documents.count())
+    sample = positives.withColumn("positive", F.lit(1)).unionByName(unlabelled.withColumn("positive", F.lit(0)))
     features = bucket_counts(sample, max_features, least_z)
 
     def task(batches):

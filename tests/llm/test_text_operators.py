@@ -1,10 +1,14 @@
 """Text operators against brute force, exact round trips and held-out labels, on small fixtures with odd rows."""
 
+import gzip
 import hashlib
 import itertools
+import json
+import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -355,6 +359,117 @@ def test_warc_derivatives(spark, tmp_path):
     assert sorted(kinds) == ["conversion", "metadata"]
 
 
+def http_record(body, uri="http://a", kind="text/html", **headers):
+    lines = [b"HTTP/1.1 200 OK", f"Content-Type: {kind}".encode(), *(f"{k.replace('_', '-')}: {v}".encode() for k, v in headers.items())]
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", uri), ("WARC-Date", "2020-01-01T00:00:00Z")], b"\r\n".join(lines) + b"\r\n\r\n" + body)
+
+
+def chunked(body, n=7):
+    parts = [body[i : i + n] for i in range(0, len(body), n)]
+    return b"".join(b"%x;q=1\r\n%s\r\n" % (len(x), x) for x in parts) + b"0\r\nTrailer: 1\r\n\r\n"
+
+
+def test_warc_encodings_are_undone():
+    page = "<title>Grüße</title><p>schöne Grüße aus Köln, schöne Grüße</p>"
+    plain, want = page.encode(), "schöne Grüße aus Köln, schöne Grüße"
+    raw = zlib.compressobj(wbits=-15)
+    cases = [
+        (gzip.compress(plain), {"Content_Encoding": "gzip"}), (gzip.compress(plain[:20]) + gzip.compress(plain[20:]), {"Content_Encoding": "x-gzip"}),
+        (zlib.compress(plain), {"Content_Encoding": "deflate"}), (raw.compress(plain) + raw.flush(), {"Content_Encoding": "deflate"}),
+        (chunked(plain), {"Transfer_Encoding": "chunked"}), (chunked(gzip.compress(plain)), {"Transfer_Encoding": "chunked", "Content_Encoding": "gzip"}),
+        (gzip.compress(zlib.compress(plain)), {"Content_Encoding": "deflate, gzip"}), (plain, {"Content_Encoding": "identity"}),
+        (b"\xef\xbb\xbf" + plain, {}), ("\ufeff".encode("utf-16-le") + page.encode("utf-16-le"), {}),
+        (b"<meta charset='latin-1'>" + page.encode("latin-1"), {}), (b'<meta content="text/html; charset=ISO-8859-1">' + page.encode("latin-1"), {}),
+        (b"<meta charset='no such'>" + plain, {}),
+    ]
+    for body, headers in cases:
+        meta, text = warc.derivatives(http_record(body, **headers))
+        assert text["block"] == want and json.loads(meta["block"])["html"]["title"] == "Grüße" and meta["error"] is None
+        assert text["source_payload_digest"] == warc.digest(body)
+    assert warc.derivatives(http_record(page.encode("latin-1"), kind="text/html; charset=latin-1"))[1]["block"] == want
+    broken = [
+        (plain, {"Content_Encoding": "gzip"}), (gzip.compress(plain)[:-9], {"Content_Encoding": "gzip"}), (plain, {"Content_Encoding": "br"}),
+        (chunked(plain)[:-20], {"Transfer_Encoding": "chunked"}), (b"zz\r\n", {"Transfer_Encoding": "chunked"}),
+    ]
+    for body, headers in broken:
+        (row,) = warc.derivatives(http_record(body, **headers))
+        assert row["record_type"] == "metadata" and row["error"] and row["source_payload_digest"] == warc.digest(body)
+    assert warc.derivatives(http_record(gzip.compress(bytes(5000)), Content_Encoding="gzip"), most=4999)[0]["error"]
+    assert warc.derivatives(http_record(b"", Content_Encoding="gzip"))[1]["block"] == ""
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<title>", '<a "> "x', "<a x='>", '<a href="', "<!--", "<script ", "</title", "<", '<a =" ', "<meta "])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_warc_page_of_malformed_tags_takes_linear_time(unit, end):
+    start = time.time()
+    page = unit * 60_000 + end
+    warc.derivatives(http_record(page.encode()))
+    assert time.time() - start < 5
+
+
+def test_warc_tags():
+    page = '<a title="a > b" href=/x>l</a> <!-- <p> --> 1 < 2 <p\n class=x>t<script>if (a<b) "</p>"</script >u<A HREF=\'y&amp;z\'></a><textarea>k</textarea><titles>'
+    assert warc.read_page(page) == ("l 1 < 2\ntuk", None, ["/x", "y&z"])
+    assert warc.read_page("a<title>x</titlex></title>b<title>z") == ("ab", "x</titlex>", [])
+
+
+def test_warc_files_are_read(spark, tmp_path):
+    records = [http_record(f"<p>page {i}</p>".encode() + b"\r\n\r\nWARC/1.0\r\n", uri=f"http://a/{i}") for i in range(300)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "d.warc").write_bytes(records[0] + b"noise")
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(records[0])[:-12])
+    (tmp_path / "f.warc").write_bytes(b"")
+    found = warc.read_records(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    rows = found.collect()
+    for name in ("a.warc", "b.warc.gz", "c.warc.gz"):
+        own = sorted((r.offset, r.warc) for r in rows if r.path == name)
+        assert [warc.parse_record(x) for _, x in own] == [warc.parse_record(x) for x in records]
+        assert [x for x, _ in own] == [sum(map(len, records[:i])) for i in range(300)]
+    kinds = warc.derive(found.withColumn("id", F.concat_ws(":", "path", "offset")), "id").groupBy(F.split("id", ":")[0], "record_type").count().collect()
+    odd = sorted(tuple(r) for r in kinds if r[0][0] in "def")
+    assert odd == [("d.warc", "conversion", 1), ("d.warc", "error", 1), ("d.warc", "metadata", 1), ("e.warc.gz", "error", 1)]
+
+
+def test_toxicity_gradient_is_that_of_the_risk():
+    rng = np.random.default_rng(4)
+    signs = set()
+    for _ in range(40):
+        p, u = rng.integers(0, 2, (rng.integers(1, 9), 5)).astype(float), rng.integers(0, 2, (rng.integers(1, 20), 5)).astype(float)
+        w, prior = rng.normal(size=6) * 2, rng.uniform(0.05, 0.9)
+
+        def loss(z):
+            return np.mean([math.log1p(math.exp(-x)) for x in z])
+
+        def negative(w):
+            return loss(-(u @ w[:-1] + w[-1])) - prior * loss(-(p @ w[:-1] + w[-1]))
+
+        whole = lambda w: prior * loss(p @ w[:-1] + w[-1]) + negative(w)
+        risk = whole if negative(w) >= 0 else lambda w: -negative(w)
+        signs.add(negative(w) >= 0)
+        steps = np.eye(6) * 1e-6
+        assert np.allclose(toxicity.gradient(w, p, u, prior), [(risk(w + s) - risk(w - s)) / 2e-6 for s in steps], atol=1e-5)
+    assert signs == {True, False}
+
+
+def test_toxicity_sample_is_bounded_where_rows_repeat(spark):
+    rows = spark.range(6000).selectExpr("if(id < 3000, 1, id) as key", "if(id < 2000, 'same', concat('t', id)) as text").withColumn("text", F.when(F.col("key") != 5000, F.col("text")))
+    found = [sorted((r.text or "" for r in toxicity.drawn(rows.repartition(n), "drawn", 500, 6000).collect())) for n in (1, 40)]
+    assert found[0] == found[1] and 300 < len(found[0]) <= 500 and len(set(found[0])) == len(found[0])
+    assert len(toxicity.drawn(rows, "drawn", 500).collect()) == 500
+    assert len(toxicity.drawn(rows, "drawn", 10_000, 6000).collect()) == 4001
+    assert toxicity.drawn(rows.where("false"), "drawn", 5).count() == 0
+
+
+def test_languages_are_bounded(spark):
+    df = spark.range(400).selectExpr("id as doc_id", "if(id < 300, 'the of and that', 'der die und nicht') as text", "if(id < 300, 'aa', if(id < 390, 'bb', concat('x', id))) as lang")
+    with pytest.warns(UserWarning, match="more than 2 languages"):
+        model = language.train(df, "text", "lang", "doc_id", max_languages=2)
+    assert model.languages == ["aa", "bb"]
+    assert language.train(df, "text", "lang", "doc_id").languages[:2] == ["aa", "bb"]
+
+
 def test_license_scan(spark):
     texts = [
         "Released under the MIT License.", "mit\n-- LICENSE mit  license x", "Licensed under the Apache License, Version 2.0.", "General-Public License", "", "smit license",
