@@ -70,26 +70,54 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(start in item, start in text, length) of greedy string tiling, longest first; ties: first in the item, then in the text.
 
-    The length searched for starts at the longest run still unmarked and falls to ``least``. Windows are found by
-    Karp-Rabin hashes and confirmed word by word.
+    Where no common run of n words is unmarked there is none of more, so the next length is found by halving. Windows are
+    found by Karp-Rabin hashes and confirmed word by word. Within a length, a place in the item takes the first place in the
+    text that is still free; places that are not are passed over for good.
     """
     out = []
-    known = np.isin(text, item)
-    free_item, free_text = np.ones(len(item), bool), known.copy()
-    n = min(len(item), longest_run(free_text))
-    while n >= least:
+    free_item, free_text = np.ones(len(item), bool), np.isin(text, item)
+
+    def common(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts in the item, their hashes, starts in the text, their hashes) of free windows of n words found in both."""
         a, b = windows(item, n), windows(text, n)
         a_free, b_free = run_starts(free_item, n), run_starts(free_text, n)
-        places = {}
-        for i in a_free.tolist():
-            places.setdefault(int(a[i]), []).append(i)
-        hits = b_free[np.isin(b[b_free], a[a_free])] if len(b_free) else b_free
-        found = sorted((i, int(j)) for j in hits for i in places[int(b[j])])
-        for i, j in found:
-            if free_item[i : i + n].all() and free_text[j : j + n].all() and (item[i : i + n] == text[j : j + n]).all():
-                out.append((i, j, n))
-                free_item[i : i + n] = free_text[j : j + n] = False
-        n = min(n - 1, longest_run(free_item), longest_run(free_text))
+        b_free = b_free[np.isin(b[b_free], a[a_free])]
+        a_free = a_free[np.isin(a[a_free], b[b_free])]
+        return a_free, a[a_free], b_free, b[b_free]
+
+    most = min(len(item), longest_run(free_text))
+    while most >= least:
+        low, high, found = least - 1, most, None
+        while low < high:  # the longest n with a common window
+            n = (low + high + 1) // 2
+            some = common(n)
+            if len(some[0]):
+                low, found = n, some
+            else:
+                high = n - 1
+        if not found:
+            break
+        n = low
+        a_at, a_hash, b_at, b_hash = found
+        order = np.argsort(b_hash, kind="stable")
+        b_at, b_hash = b_at[order].tolist(), b_hash[order]
+        begin, end = np.searchsorted(b_hash, a_hash).tolist(), np.searchsorted(b_hash, a_hash, side="right").tolist()
+        passed = {}  # first place of a hash's group that may still be free
+        for i, first, stop in zip(a_at.tolist(), begin, end):
+            # tiles of this round have n words too, so one that meets a window meets one of its ends
+            if not (free_item[i] and free_item[i + n - 1]):
+                continue
+            k = passed.get(first, first)
+            while k < stop and not (free_text[b_at[k]] and free_text[b_at[k] + n - 1]):
+                k += 1
+            passed[first] = k
+            for k in range(k, stop):
+                j = b_at[k]
+                if free_text[j] and free_text[j + n - 1] and (item[i : i + n] == text[j : j + n]).all():
+                    out.append((i, j, n))
+                    free_item[i : i + n] = free_text[j : j + n] = False
+                    break
+        most = min(n - 1, longest_run(free_item), longest_run(free_text))
     return out
 
 

@@ -470,6 +470,21 @@ def test_languages_are_bounded(spark):
     assert language.train(df, "text", "lang", "doc_id").languages[:2] == ["aa", "bb"]
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 30])
+def test_tiling_of_few_kinds_of_words_takes_no_long(kinds):
+    rng = np.random.default_rng(kinds)
+    h = rng.integers(1, 1 << 62, kinds).astype(np.uint64)
+    item, text = h[rng.integers(0, kinds, 4000)], h[rng.integers(0, kinds, 40_000)]
+    start = time.time()
+    found = decontaminate.tiles(item, text, 5)
+    assert time.time() - start < 10
+    marked = np.zeros(len(item), int)
+    for i, j, n in found:
+        assert n >= 5 and (item[i : i + n] == text[j : j + n]).all()
+        marked[i : i + n] += 1
+    assert marked.max() <= 1 and [n for _, _, n in found] == sorted((n for _, _, n in found), reverse=True)
+
+
 def test_license_scan(spark):
     texts = [
         "Released under the MIT License.", "mit\n-- LICENSE mit  license x", "Licensed under the Apache License, Version 2.0.", "General-Public License", "", "smit license",
