@@ -66,6 +66,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         step = make()
         for batch in slices(batches, text):
             yield step(batch)
+        step = None
         # the worker process lives on and serves other stages
         pa.default_memory_pool().release_unused()
 
@@ -87,7 +88,7 @@ class WordIndex:
     New words go to ``add`` in parts of ``part``: their n-grams need far more memory than the words.
     """
 
-    def __init__(self, add: Callable[[list], None], reset: Callable[[], None], most: int = 250_000, part: int = 20_000):
+    def __init__(self, add: Callable[[list], None], reset: Callable[[], None], most: int = 125_000, part: int = 10_000):
         self.add, self.reset, self.most, self.part, self.known = add, reset, most, part, {}
 
     def numbers(self, words: list) -> np.ndarray:
