@@ -29,6 +29,9 @@ _LANDED: dict[tuple[str, str, str], str] = {}
 
 #: blocks in a bucket of the landed chain tables, so that their few thousand blocks fill several
 BUCKET_WIDTH = 500
+#: landed node responses: codec, and lines in a file at most
+LANDED_CODEC = "gzip"
+LINES_PER_FILE = 20_000
 
 EVENT_A = "0x" + "aa" * 32
 EVENT_N = "0x" + "bb" * 32
@@ -43,11 +46,11 @@ _ORDER = {
 }
 _BLOCK_HASH = "concat('0x', sha2(concat('b', chain_id, ':', block_number), 256))"
 _CENTS_HEX = (
-    "lpad(concat(lower(hex(cast(round(l_extendedprice * 100) as bigint))), "
-    "case when l_linenumber = 2 then repeat('0', 20) else '' end), 64, '0')"
+    "lpad(concat(lower(hex(cast(round({of}l_extendedprice * 100) as bigint))), "
+    "case when {of}l_linenumber = 2 then repeat('0', 20) else '' end), 64, '0')"
 )
 _TOPIC0 = (
-    "concat('0x', repeat(case l_returnflag when 'A' then 'aa' when 'N' then 'bb' else 'cc' end, 32))"
+    "concat('0x', repeat(case {of}l_returnflag when 'A' then 'aa' when 'N' then 'bb' else 'cc' end, 32))"
 )
 #: orders of which the first part of a node's response cannot be read
 BAD_PART = "o_orderkey % 97 = 5"
@@ -58,6 +61,17 @@ def _hex(number: str) -> str:
     return f"concat('0x', lower(hex({number})))"
 
 
+def _placed(orders: DataFrame) -> DataFrame:
+    """Rows that hold an order's key and date, with its place on a chain: numbers only."""
+    return orders.selectExpr("*", *[f"{_ORDER[n]} as {n}" for n in ("chain_id", "block_number")], "o_orderkey div 3 as tx_index")
+
+
+def _with_hashes(placed: DataFrame) -> DataFrame:
+    """Hashes and addresses of placed rows. They follow from the numbers and are several times as wide, so rows are
+    joined, spread and sorted before."""
+    return placed.selectExpr("*", *[f"{_ORDER[n]} as {n}" for n in ("tx_hash", "to_addr")], f"{_BLOCK_HASH} as block_hash")
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -70,12 +84,11 @@ class Fixtures:
     @cached_property
     def orders(self) -> DataFrame:
         """Orders with their chain coordinates."""
-        named = self.table("orders").selectExpr("*", *[f"{e} as {n}" for n, e in _ORDER.items()])
-        return named.selectExpr("*", f"{_BLOCK_HASH} as block_hash", "o_orderkey div 3 as tx_index")
+        return _with_hashes(_placed(self.table("orders")))
 
-    def _transactions(self) -> DataFrame:
-        return self.orders.selectExpr(
-            "chain_id", "tx_hash", "block_number", "block_hash", "tx_index",
+    def _transactions(self, placed: DataFrame) -> DataFrame:
+        return _with_hashes(placed).selectExpr(
+            "block_bucket", "chain_id", "tx_hash", "block_number", "block_hash", "tx_index",
             "concat('0x', lpad(lower(hex(o_custkey)), 40, '0')) as from_addr",
             "to_addr",
             "cast(cast(round(o_totalprice * 100) as decimal(38,0)) * 100000000000000 as string) as value",
@@ -86,11 +99,9 @@ class Fixtures:
             "cast(case when o_orderpriority = '1-URGENT' then 2 else 0 end as bigint) as tx_type",
         )
 
-    def _receipts(self) -> DataFrame:
-        """Receipts; low-priority pending orders above a price have none."""
-        lacking = "o_orderstatus = 'P' and o_orderpriority = '5-LOW' and o_totalprice > 400000"
-        return self.orders.where(f"not ({lacking})").selectExpr(
-            "chain_id", "tx_hash", "block_number", "block_hash", "tx_index",
+    def _receipts(self, placed: DataFrame) -> DataFrame:
+        return _with_hashes(placed).selectExpr(
+            "block_bucket", "chain_id", "tx_hash", "block_number", "block_hash", "tx_index",
             "cast(case when o_orderstatus = 'F' then 0 else 1 end as bigint) as status",
             "cast((1 + o_orderkey % 100) * 22000 as bigint) as cumulative_gas_used",
             "cast(21000 + o_orderkey % 1000 as bigint) as gas_used",
@@ -116,21 +127,25 @@ class Fixtures:
         )
 
     @cached_property
-    def lines(self) -> DataFrame:
-        """Line items with the block of their order and their position in it, from 1."""
-        block = self.orders.select("o_orderkey", "chain_id", "block_number", "block_hash", "tx_hash")
-        joined = self.table("lineitem").join(block, F.col("l_orderkey") == F.col("o_orderkey"))
+    def placed_lines(self) -> DataFrame:
+        """Line items with chain, block and position in their order, from 1; no hash is made before the join."""
+        order = self.table("orders").select("o_orderkey", "o_orderdate")
+        joined = self.table("lineitem").join(order, F.col("l_orderkey") == F.col("o_orderkey"))
         position = f"row_number() over (partition by l_orderkey order by {_LINE_ORDER})"
-        return joined.selectExpr("*", f"cast({position} as bigint) as seq")
+        return _placed(joined.selectExpr("*", f"cast({position} as bigint) as seq"))
 
-    def _logs(self) -> DataFrame:
-        return self.lines.selectExpr(
-            "chain_id", "block_number", "block_hash", "tx_hash",
-            "(l_orderkey div 3) * 1024 + seq - 1 as log_index",
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Line items with the hashes of their order as well."""
+        return _with_hashes(self.placed_lines)
+
+    def _logs(self, placed: DataFrame) -> DataFrame:
+        return _with_hashes(placed).selectExpr(
+            "block_bucket", "chain_id", "block_number", "block_hash", "tx_hash", "log_index",
             "concat('0x', lpad(lower(hex(l_suppkey)), 40, '0')) as address",
-            f"concat('0x', {_CENTS_HEX}) as data",
-            f"case when l_linenumber = 7 then array({_TOPIC0}) "
-            f"else array({_TOPIC0}, concat('0x', lpad(lower(hex(l_partkey)), 64, '0'))) end as topics",
+            f"concat('0x', {_CENTS_HEX.format(of='')}) as data",
+            f"case when l_linenumber = 7 then array({_TOPIC0.format(of='')}) "
+            f"else array({_TOPIC0.format(of='')}, concat('0x', lpad(lower(hex(l_partkey)), 64, '0'))) end as topics",
             "l_linestatus = 'F' and l_linenumber = 3 as removed",
         )
 
@@ -269,43 +284,50 @@ class Fixtures:
             _LANDED[key] = path
         return _LANDED[key]
 
-    def _chain_table(self, name: str, view: DataFrame, schema: T.StructType, position: str) -> DataFrame:
-        return self._by_bucket(name, view, schema, position).select(*schema.fieldNames())
-
-    def _by_bucket(self, name: str, view: DataFrame, schema: T.StructType, position: str) -> DataFrame:
-        path = self._landed(name, lambda p: tables.append(view, p, position, BUCKET_WIDTH))
+    def _by_bucket(
+        self, name: str, rows: DataFrame, schema: T.StructType, position: str, finish: Callable[[DataFrame], DataFrame] | None = None
+    ) -> DataFrame:
+        path = self._landed(name, lambda p: tables.append(rows, p, position, BUCKET_WIDTH, finish=finish))
         return tables.stored(self.spark, path, schema)
 
     def _plain_table(self, name: str, view: DataFrame) -> DataFrame:
         return self.spark.read.parquet(self._landed(name, lambda p: view.write.parquet(p)))
 
-    @cached_property
-    def logs(self) -> DataFrame:
-        return self._chain_table("logs", self._logs(), S.LOGS, "log_index")
-
     @cached_property
     def logs_by_bucket(self) -> DataFrame:
-        return self._by_bucket("logs", self._logs(), S.LOGS, "log_index")
+        placed = self.placed_lines.withColumn("log_index", F.expr("(l_orderkey div 3) * 1024 + seq - 1"))
+        return self._by_bucket("logs", placed, S.LOGS, "log_index", self._logs)
 
     @cached_property
     def transactions_by_bucket(self) -> DataFrame:
-        return self._by_bucket("transactions", self._transactions(), S.TRANSACTIONS, "tx_index")
+        return self._by_bucket("transactions", _placed(self.table("orders")), S.TRANSACTIONS, "tx_index", self._transactions)
 
     @cached_property
-    def blocks(self) -> DataFrame:
-        return self._chain_table("blocks", self._blocks(), S.BLOCKS, "block_hash")
+    def receipts_by_bucket(self) -> DataFrame:
+        """Receipts; low-priority pending orders above a price have none."""
+        lacking = "o_orderstatus = 'P' and o_orderpriority = '5-LOW' and o_totalprice > 400000"
+        placed = _placed(self.table("orders").where(f"not ({lacking})"))
+        return self._by_bucket("receipts", placed, S.RECEIPTS, "tx_index", self._receipts)
 
     @cached_property
     def blocks_by_bucket(self) -> DataFrame:
         return self._by_bucket("blocks", self._blocks(), S.BLOCKS, "block_hash")
 
+    @cached_property
+    def logs(self) -> DataFrame:
+        return self.logs_by_bucket.select(*S.LOGS.fieldNames())
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return self.blocks_by_bucket.select(*S.BLOCKS.fieldNames())
+
     @cached_property
     def transactions(self) -> DataFrame:
-        return self._chain_table("transactions", self._transactions(), S.TRANSACTIONS, "tx_index")
+        return self.transactions_by_bucket.select(*S.TRANSACTIONS.fieldNames())
 
     @cached_property
     def receipts(self) -> DataFrame:
-        return self._chain_table("receipts", self._receipts(), S.RECEIPTS, "tx_index")
+        return self.receipts_by_bucket.select(*S.RECEIPTS.fieldNames())
 
     @cached_property
     def deliveries(self) -> DataFrame:
@@ -343,26 +365,32 @@ class Fixtures:
     # --- landed node responses ---------------------------------------------------------------
 
     def _land(self, name: str, rows: DataFrame) -> str:
-        lines = rows.select("chain_id", "value")
-        return self._landed(name, lambda p: lines.write.partitionBy("chain_id").text(p))
-
-    def _lines_per_order(self, fields: str) -> DataFrame:
-        """Per order an array of its lines, in line order; bounded by the lines of an order."""
-        return self.table("lineitem").groupBy("l_orderkey").agg(
-            F.sort_array(F.collect_list(F.expr(f"struct({_LINE_ORDER}, {fields})"))).alias("lines")
+        """Compressed JSON lines. A compressed file is read by one task, so its lines are bounded."""
+        writer = rows.select("chain_id", "value").write.partitionBy("chain_id")
+        writer = writer.option("compression", LANDED_CODEC).option("maxRecordsPerFile", LINES_PER_FILE)
+        return self._landed(name, writer.text)
+
+    def _orders_with_lines(self, *fields: str) -> DataFrame:
+        """Orders, each with an array of its lines in line order; bounded by the lines of an order.
+
+        Bare columns are moved, once; hashes and hex text are made afterwards. Rows meet before they are collected:
+        a collection within the input's tasks finds nothing to reduce and sorts all that they read.
+        """
+        lines = self.table("lineitem").repartition("l_orderkey").groupBy("l_orderkey").agg(
+            F.sort_array(F.collect_list(F.expr(f"struct({', '.join([_LINE_ORDER, *fields])})"))).alias("lines")
         )
+        joined = self.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        return _with_hashes(_placed(joined))
 
     def land_blocks(self) -> str:
         """One block response per order, its lines as transactions; some fail, are not there or hold a bad nonce."""
-        lines = self._lines_per_order(f"{_CENTS_HEX} as cents")
-        joined = self.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         transaction = (
             "struct(concat('0x', lpad(hex(o_orderkey * 1024 + i), 64, '0')) as hash, "
             "block_hash as blockHash, "
             f"{_hex('o_orderkey')} as blockNumber, {_hex('i')} as transactionIndex, "
             "concat('0x', lpad(hex(l.l_suppkey), 40, '0')) as `from`, "
             "case when l.l_linenumber < 7 then concat('0x', lpad(hex(l.l_partkey), 40, '0')) end as `to`, "
-            "concat('0x', l.cents) as value, "
+            f"concat('0x', {_CENTS_HEX.format(of='l.')}) as value, "
             f"case when i = 0 and {BAD_PART} then '0xZZ' else {_hex('cast(l.l_linenumber as bigint)')} end as nonce, "
             f"{_hex('21000 + l.l_partkey')} as gas, "
             f"case when l.l_linenumber = 1 then '0x' else {_hex('l.l_partkey')} end as gasPrice, "
@@ -382,7 +410,7 @@ class Fixtures:
             "when o_orderstatus = 'P' and o_orderpriority = '3-MEDIUM' then '{\"jsonrpc\":\"2.0\",\"id\":1}' "
             f"else to_json(struct('2.0' as jsonrpc, 1 as id, {result} as result)) end"
         )
-        return self._land("node-blocks", joined.selectExpr("chain_id", f"{value} as value"))
+        return self._land("node-blocks", self._orders_with_lines().selectExpr("chain_id", f"{value} as value"))
 
     def land_light_blocks(self) -> str:
         """Hash-only responses for every block: chain 1 agrees, chain 2 differs from a block on, chain 3 lacks its tip."""
@@ -423,21 +451,19 @@ class Fixtures:
 
     def land_logs(self) -> str:
         """One log response per order: an array, empty for an order without lines; some hold a log without an index."""
-        lines = self._lines_per_order(f"{_CENTS_HEX} as cents, {_TOPIC0} as topic0, l_linestatus as status")
-        joined = self.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         log = (
             "struct(concat('0x', lpad(hex(l.l_suppkey), 40, '0')) as address, "
-            "array(l.topic0, concat('0x', lpad(hex(l.l_partkey), 64, '0'))) as topics, "
-            f"concat('0x', l.cents) as data, {_hex('block_number')} as blockNumber, "
+            f"array({_TOPIC0.format(of='l.')}, concat('0x', lpad(hex(l.l_partkey), 64, '0'))) as topics, "
+            f"concat('0x', {_CENTS_HEX.format(of='l.')}) as data, {_hex('block_number')} as blockNumber, "
             "upper(block_hash) as blockHash, tx_hash as transactionHash, "
             f"case when i = 0 and {BAD_PART} then '' else {_hex('tx_index * 1024 + i')} end as logIndex, "
-            "l.status = 'F' as removed)"
+            "l.l_linestatus = 'F' as removed)"
         )
         value = (
             "to_json(struct('2.0' as jsonrpc, 1 as id, "
             f"transform(coalesce(lines, array()), (l, i) -> {log}) as result))"
         )
-        return self._land("node-logs", joined.selectExpr("chain_id", f"{value} as value"))
+        return self._land("node-logs", self._orders_with_lines("l_returnflag", "l_linestatus").selectExpr("chain_id", f"{value} as value"))
 
     def land_messages(self) -> str:
         """Recorded messages as topic files, three of them, each a range of arrivals."""

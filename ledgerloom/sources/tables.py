@@ -8,6 +8,8 @@ range, which prunes directories.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +27,12 @@ def sort_for_ingest(df: DataFrame, position: str, partitions: int | None = None)
     The position is part of the range key, so even a third of all rows in one block
     splits over several tasks.
     """
+    return _spread(df, position, partitions).sortWithinPartitions("chain_id", "block_number", position)
+
+
+def _spread(df: DataFrame, position: str, partitions: int | None) -> DataFrame:
     order = ["chain_id", "block_number", position]
-    spread = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    return spread.sortWithinPartitions(*order)
+    return df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
 
 
 def append(
@@ -36,10 +41,17 @@ def append(
     position: str,
     width: int = BLOCK_BUCKET,
     partitions: int | None = None,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
-    """Append rows to a table; nothing is deduplicated."""
+    """Append rows to a table; nothing is deduplicated.
+
+    ``finish`` makes the table's columns from rows that are already in place: what it makes is neither shuffled nor sorted.
+    It is a projection that keeps ``chain_id`` and ``block_bucket``; rows are sorted by these first, as the writer asks.
+    """
+    order = ["chain_id", "block_bucket", "block_number", position]
+    spread = with_bucket(_spread(df, position, partitions), width).sortWithinPartitions(*order)
     (
-        sort_for_ingest(with_bucket(df, width), position, partitions)
+        (finish(spread) if finish else spread)
         .write.mode("append")
         .partitionBy("chain_id", "block_bucket")
         .parquet(path)
