@@ -527,7 +527,7 @@ def st_confirmed_ingest(fx):
 def _stream(fx: Fixtures, after_batch=None) -> str:
     """Run recorded messages through the changelog job; the folder it wrote."""
     path = scratch_path(fx.spark, "changelog")
-    source = topics.read_files(fx.spark, fx.land_messages(), CHAINS, max_files_per_trigger=1)
+    source = topics.read_files(fx.spark, fx.land_messages(), CHAINS, max_files_per_trigger=fx.files_per_batch)
     order = F.expr("offset * 4 + partition")
     jobs.start_changelog(
         source, path, scratch_path(fx.spark, "offsets"), order,
@@ -634,23 +634,28 @@ def st_confirmed_publish(fx):
     return M.to_blocks(_as_messages(sent)).select("chain_id", "block_number", "block_hash", "tx_count")
 
 
+#: blocks in a bucket of the stored tables at least, so that few blocks fill several
 STORED_WIDTH = 200
 
 
+def _stored_width(fx: Fixtures) -> int:
+    return tables.fitting_width(fx.message_height, STORED_WIDTH)
+
+
 def _stored(fx: Fixtures) -> str:
     """Tables that the changelog job kept up to date batch by batch, folding as it went, and then replayed from a block."""
 
     def run(root: str) -> None:
-        path = scratch_path(fx.spark, "changelog")
+        path, width = scratch_path(fx.spark, "changelog"), _stored_width(fx)
 
         def after(spark: SparkSession, batch_id: int) -> None:
             jobs.fold_changelog(spark, path, batch_id, fan=2)
-            entities.refresh(spark, path, batch_id, root, STORED_WIDTH)
+            entities.refresh(spark, path, batch_id, root, width)
 
-        source = topics.read_files(fx.spark, fx.land_messages(), CHAINS, max_files_per_trigger=1)
+        source = topics.read_files(fx.spark, fx.land_messages(), CHAINS, max_files_per_trigger=fx.files_per_batch)
         order = F.expr("offset * 4 + partition")
-        jobs.start_changelog(source, path, scratch_path(fx.spark, "offsets"), order, after, width=STORED_WIDTH).awaitTermination()
-        entities.rebuild(fx.spark, path, root, 2, 300, STORED_WIDTH)
+        jobs.start_changelog(source, path, scratch_path(fx.spark, "offsets"), order, after, width=width).awaitTermination()
+        entities.rebuild(fx.spark, path, root, 2, 300, width)
 
     return fx._landed("stored-tables", run)
 
@@ -678,7 +683,7 @@ def st_stored_receipts(fx):
 @query
 def q_logs_stored(fx):
     wanted = Q.LogFilter(chain_id=2, from_block=100, limit=500)
-    table = entities.read(fx.spark, _stored(fx), "logs", chain_id=2, from_block=100, width=STORED_WIDTH)
+    table = entities.read(fx.spark, _stored(fx), "logs", chain_id=2, from_block=100, width=_stored_width(fx))
     return _text_topics(P.logs(table, wanted))
 
 

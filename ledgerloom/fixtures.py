@@ -32,6 +32,9 @@ BUCKET_WIDTH = 500
 #: landed node responses: codec, and lines in a file at most
 LANDED_CODEC = "gzip"
 LINES_PER_FILE = 20_000
+#: recorded messages: micro-batches they are read in, and about how many a file holds at most
+STREAM_BATCHES = 3
+MESSAGES_PER_FILE = 50_000
 
 EVENT_A = "0x" + "aa" * 32
 EVENT_N = "0x" + "bb" * 32
@@ -212,9 +215,13 @@ class Fixtures:
 
     # --- messages -------------------------------------------------------------------------
 
-    def _raw_messages(self) -> DataFrame:
-        """Kafka-shaped rows with ``seq``. Error events carry each kind of broken message."""
-        base = self.table("events").selectExpr(
+    def _raw_messages(self, files: int | None = None) -> DataFrame:
+        """Kafka-shaped rows with ``seq``, spread by arrival. Error events carry each kind of broken message.
+
+        Events are spread before their messages are made: these are wider, and the spreading reads its input twice.
+        """
+        bounds = [files] if files else []
+        base = self.table("events").repartitionByRange(*bounds, "event_id").selectExpr(
             "event_id as seq", "cast(1 + user_id % 3 as bigint) as chain_id", "user_id", "value as amount",
             "cast(event_id % 4 as int) as partition", "event_id div 4 as offset",
             "cast(ts as timestamp) as timestamp", "event_id div 10 as block_number",
@@ -348,8 +355,7 @@ class Fixtures:
     @cached_property
     def raw_messages(self) -> DataFrame:
         """Recorded messages, spread over files by arrival."""
-        view = self._raw_messages().repartitionByRange("seq")
-        return self._plain_table("messages", view)
+        return self._plain_table("messages", self._raw_messages())
 
     @cached_property
     def decoded(self) -> DataFrame:
@@ -466,10 +472,25 @@ class Fixtures:
         return self._land("node-logs", self._orders_with_lines("l_returnflag", "l_linestatus").selectExpr("chain_id", f"{value} as value"))
 
     def land_messages(self) -> str:
-        """Recorded messages as topic files, three of them, each a range of arrivals."""
-        rows = self._raw_messages().repartitionByRange(3, "seq").drop("seq")
+        """Recorded messages as topic files, each a range of arrivals: three at least, bounded in size."""
+        rows = self._raw_messages(self.message_files).drop("seq")
         return self._landed("topic-files", lambda p: rows.write.parquet(p))
 
+    @cached_property
+    def message_files(self) -> int:
+        """Files of messages; the count of rows comes from the footers."""
+        return max(STREAM_BATCHES, -(-self.table("events").count() // MESSAGES_PER_FILE))
+
+    @cached_property
+    def message_height(self) -> int:
+        """The highest block that messages are of, one number."""
+        return self.table("events").agg(F.expr("coalesce(max(event_id), 0) div 10")).first()[0]
+
+    @property
+    def files_per_batch(self) -> int:
+        """Files that a micro-batch takes so that the messages come in three, whatever their number."""
+        return -(-self.message_files // STREAM_BATCHES)
+
 
 def processed_at() -> Column:
     """The processing time lags are measured against."""

@@ -21,6 +21,18 @@ def with_bucket(df: DataFrame, width: int = BLOCK_BUCKET) -> DataFrame:
     return df.withColumn("block_bucket", F.expr(f"block_number div {width}"))
 
 
+def fitting_width(height: int, least: int = BLOCK_BUCKET, folders: int = 32) -> int:
+    """Width of buckets for a chain of so many blocks: ``least``, doubled until ``folders`` buckets hold them.
+
+    What writers create, readers list and the driver plans counts folders, so their number must not grow with the chain.
+    A table keeps the width it was made with.
+    """
+    width = least
+    while height >= width * folders:
+        width *= 2
+    return width
+
+
 def sort_for_ingest(df: DataFrame, position: str, partitions: int | None = None) -> DataFrame:
     """Total order within a chain: range partitions, each sorted.
 

@@ -55,3 +55,19 @@ def test_append_finishes_rows_in_place(spark, tmp_path):
     for file in Path(path).rglob("*.parquet"):
         kept = [(r.block_number, r.log_index) for r in spark.read.parquet(str(file)).collect()]
         assert kept == sorted(kept)
+
+
+@pytest.mark.parametrize(("rows", "files", "a_batch"), [(7, 3, 1), (10, 4, 2), (31, 11, 4)])
+def test_messages_come_in_bounded_files_and_three_batches(spark, monkeypatch, rows, files, a_batch):
+    monkeypatch.setattr(X, "MESSAGES_PER_FILE", 3)
+    monkeypatch.setattr(X.Fixtures, "table", lambda fx, name: fx.spark.range(rows).withColumnRenamed("id", "event_id"))
+    fx = X.Fixtures(spark, SF)
+    assert fx.message_files == files
+    assert -(-fx.message_files // fx.files_per_batch) <= 3 and fx.files_per_batch == a_batch
+
+
+@pytest.mark.parametrize("height", [0, 199, 6399, 6400, 60_000, 3_600_000])
+def test_the_number_of_folders_does_not_grow_with_the_chain(height):
+    width = tables.fitting_width(height, 200)
+    assert height // width < 32
+    assert width == 200 or height // (width // 2) >= 32
