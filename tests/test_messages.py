@@ -149,3 +149,27 @@ def test_filters_on_decoded_fields_parse_once(spark):
     logs = V.M.to_logs(M.decode(raw(spark, ['{"type":"log","chain_id":1}'])))
     plan = logs.where("block_number > 5")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+@pytest.mark.parametrize(
+    "text, reason",
+    [
+        ('{"type":"block","chain_id":1,"block_number":9223372036854775807}', None),
+        ('{"type":"block","chain_id":1,"block_number":9223372036854775808}', M.OUT_OF_RANGE),
+        ('{"type":"block","chain_id":1,"nonce": 99999999999999999999 }', M.OUT_OF_RANGE),
+        ('{"type":"block","chain_id":1,"nonce":100000000000000000000}', M.MALFORMED),
+        ('{"type":"block","chain_id":1,"nonce":18446744073709551615,"gas":100000000000000000000}', M.OUT_OF_RANGE),
+        ('{"type":"block","chain_id":1,"nonce":18446744073709551615,"gas":007}', M.MALFORMED),
+        ('{"type":"block","chain_id":1,"nonce":007}', M.MALFORMED),
+        ('{"type":"block","chain_id":1,"reason":"\\"nonce\\":18446744073709551615"}', None),
+        ('{"type":"block","chain_id":1,"other":18446744073709551615}', None),
+        ('{"type" : "block" , "chain_id" : "1"}', M.BAD_FIELD),
+    ],
+)
+def test_numbers_at_the_edge_of_bigint(spark, text, reason):
+    assert M.decode(raw(spark, [text])).first().dead_reason == reason
+
+
+def test_numbers_are_parsed_without_decimals(spark):
+    plan = M.decode(raw(spark, ['{"type":"log","chain_id":1}']))._jdf.queryExecution().executedPlan().toString()
+    assert "DecimalType(20,0)" not in plan
