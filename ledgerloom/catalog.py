@@ -601,13 +601,15 @@ def st_dedupe_stream(fx):
     """Logs that the stream operator lets through, wave by wave over one checkpoint."""
     source, out, offsets = (scratch_path(fx.spark, name) for name in ("waves", "deduped", "offsets"))
     keys = fx.deliveries.select("source", *S.LOG_KEY)
+    expected = fx.deliveries.count()  # from the footers
     shape = keys.withColumn("message_time", X.processed_at()).schema
     for name, hours in WAVES:
         wave = keys.where(F.col("source") == name)
         wave.withColumn("message_time", X.processed_at() + F.make_dt_interval(hours=F.lit(hours))).write.mode("append").parquet(source)
         rows = fx.spark.readStream.schema(shape).parquet(source)
         job = jobs.dedupe_stream(rows, "90 minutes").writeStream.format("parquet").option("checkpointLocation", offsets)
-        job.trigger(availableNow=True).start(out).awaitTermination()
+        with jobs.large_state(fx.spark, expected):
+            job.trigger(availableNow=True).start(out).awaitTermination()
     return fx.spark.read.schema(shape).parquet(out).select(*S.LOG_KEY)
 
 

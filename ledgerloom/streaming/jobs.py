@@ -8,7 +8,8 @@ views over the changelog.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -186,5 +187,36 @@ def incremental_balances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dedupe_stream(logs: DataFrame, delay: str, event_time: str = "message_time") -> DataFrame:
-    """Drop logs delivered again within ``delay``; state older than that is dropped."""
+    """Drop logs delivered again within ``delay``; state older than that is dropped. To be started within ``large_state``."""
     return logs.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(S.LOG_KEY)
+
+
+#: keys that a partition of a stream's state holds at most, about
+KEYS_PER_PARTITION = 500_000
+_ROCKSDB = "spark.sql.streaming.stateStore.rocksdb"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # one bound for all partitions on an executor; else each has its own buffers
+    f"{_ROCKSDB}.boundedMemoryUsage": "true",
+    # a lookup for every write
+    f"{_ROCKSDB}.trackTotalNumberOfRows": "false",
+}
+
+
+@contextmanager
+def large_state(spark: SparkSession, keys: int) -> Iterator[None]:
+    """Settings for streams whose state holds about so many keys: it lies on disk, in partitions of bounded size.
+
+    By default state lies in the heap of the executors and in as many partitions as the session shuffles to, whatever its
+    size. A stream keeps what it was first started with, so ``keys`` is what it is to hold at its fullest.
+    """
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // KEYS_PER_PARTITION))
+    wanted = {**_STATE, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -198,6 +198,23 @@ def test_stream_dedupe(spark):
     assert len(rows) == len(set(rows)) == 5
 
 
+def test_state_of_a_stream_lies_on_disk_in_bounded_partitions(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    source = str(tmp_path / "source")
+    spark.range(20).selectExpr(
+        "1L as chain_id", "'a' as block_hash", "id % 3 as block_number", "'t' as tx_hash", "0L as log_index", "timestamp_seconds(id) as message_time"
+    ).write.parquet(source)
+    stream = jobs.dedupe_stream(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), "1 hour")
+    with jobs.large_state(spark, (int(before) + 3) * jobs.KEYS_PER_PARTITION - 1):
+        job = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "offsets"))
+        job.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    kept = json.loads((tmp_path / "offsets" / "offsets" / "0").read_text().splitlines()[1])["conf"]
+    assert kept["spark.sql.streaming.stateStore.providerClass"].endswith("RocksDBStateStoreProvider")
+    assert kept["spark.sql.shuffle.partitions"] == str(int(before) + 3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
 def test_counters_see_failures(spark):
     counters = ProgressCounters()
     spark.streams.addListener(counters)
