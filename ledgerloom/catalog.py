@@ -184,7 +184,7 @@ def snk_transactions_upsert(fx):
 
 @query
 def snk_receipts_upsert(fx):
-    return W.upsert_receipts(fx.receipt_versions)
+    return W.upsert_receipts(fx.receipt_versions, wide=True)
 
 
 @query

@@ -7,6 +7,8 @@ delivered a billion times is reduced to one row per map task before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,23 @@ def _pick(df: DataFrame, key: list[str], order: str, choose) -> DataFrame:
     return picked.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
-def last_writer(df: DataFrame, key: list[str], order: str = "seq") -> DataFrame:
-    return _pick(df, key, order, F.max_by)
+def last_writer(df: DataFrame, key: list[str], order: str = "seq", wide: bool = False) -> DataFrame:
+    """Last row per key. ``wide`` is for rows with long texts and many versions, see ``_latest_only``."""
+    return _pick(_latest_only(df, key, order) if wide else df, key, order, F.max_by)
+
+
+def _latest_only(df: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Rows with the highest order of their key; several where a row was delivered again.
+
+    A pick over text sorts all rows that a task reads, whole. Here the highest order is found by a hash aggregate over the
+    narrow columns, and rows pass a hash join by key and order unsorted, so versions of one key are spread: only what is left
+    is sorted, at the size of a shuffle partition. Every version is shuffled once, which is the price.
+    """
+    both = [*key, order]
+    latest = df.groupBy(*key).agg(F.max(order).alias(order)).select(*[F.col(c).alias(f"_{c}") for c in both])
+    # NULLs are values here, as they are to a group-by
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in both])
+    return df.join(latest.hint("shuffle_hash"), same, "left_semi")
 
 
 def first_writer(df: DataFrame, key: list[str], order: str = "seq") -> DataFrame:
@@ -79,8 +96,8 @@ def upsert_transactions(versions: DataFrame, order: str = "seq") -> DataFrame:
     return last_writer(normalise_transactions(versions), S.TX_KEY, order)
 
 
-def upsert_receipts(versions: DataFrame, order: str = "seq") -> DataFrame:
-    return last_writer(normalise_receipts(versions), S.TX_KEY, order)
+def upsert_receipts(versions: DataFrame, order: str = "seq", wide: bool = False) -> DataFrame:
+    return last_writer(normalise_receipts(versions), S.TX_KEY, order, wide)
 
 
 # --- deletes and state -------------------------------------------------------------------
