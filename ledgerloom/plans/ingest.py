@@ -42,11 +42,14 @@ def next_ranges(
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows inside the range of their chain. ``ranges`` has one row per chain."""
+    """Rows inside the range of their chain. ``ranges`` has one row per chain, so it is sent to the rows.
+
+    Dealt by chain, whole tables would be shuffled and sorted in as many tasks as there are chains.
+    """
     r = ranges.alias("r")
     m = rows.alias("m")
     return m.join(
-        r,
+        F.broadcast(r),
         (F.col("m.chain_id") == F.col("r.chain_id"))
         & (F.col("m.block_number") >= F.col("r.from_block"))
         & (F.col("m.block_number") <= F.col("r.to_block")),
